@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_classifier, quality_rules, toxicity
+from . import pii, quality_classifier, quality_rules, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, labels))
 
 
+def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_pii": op4_pii,
     "op7_toxicity": op7_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_hilbert_sharding": op10_hilbert_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
