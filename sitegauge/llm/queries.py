@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_classifier, quality_rules, sharding, toxicity
+from . import pii, quality_classifier, quality_rules, sentencepiece, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encoded.select("doc_id", "n_tokens", "n_byte_tokens", "round_trip", "tokens")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -41,6 +46,7 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
     "op4_pii": op4_pii,
     "op7_toxicity": op7_toxicity,
