@@ -25,7 +25,7 @@ MAX_TRAINING_ROWS = 30_000
 PREFIXES = (4, 5, 6)
 #: Weight of the Dirichlet prior as a share of all tokens; z from which a bin counts as toxic; what any other token costs.
 PRIOR = 0.05
-MIN_Z = 3.0
+MIN_Z = 4.5
 NEUTRAL = -0.15
 #: A segment is a toxic passage if fewer are expected by chance in a text of its length.
 MAX_EXPECTED = 0.05
@@ -130,12 +130,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.zeros((2, 1 << BITS))
     for b in batches:
         for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
-            seen: dict[str, int] = {}
-            for t in tokens(text):
-                seen[t] = seen.get(t, 0) + 1
-            for t, n in seen.items():
-                for i in bins_of(t):
-                    count[1 if label else 0, i] += n
+            # once a document, so that one long or repetitive text doesn't make its words toxic
+            seen = {i for t in set(tokens(text)) for i in bins_of(t)}
+            count[1 if label else 0, list(seen)] += 1
     for label in (0, 1):
         at = np.flatnonzero(count[label])
         if len(at):
@@ -162,13 +159,14 @@ def _best(table) -> object:
 
 
 def calibrate(model: Model, rows: list[tuple[int, int, float, list[float]]]) -> Model:
-    """Fits the extreme-value law on clean rows (label, tokens, best score, all scores), then the link to a probability."""
-    clean = [(n, best) for label, n, best, _ in rows if not label and n]
-    if clean:
-        for _ in range(20):  # method of moments on scores less log(n) / lambda
-            shifted = np.array([best - math.log(n) / model.rate for n, best in clean])
-            model.rate = float(np.clip(math.pi / math.sqrt(6) / max(shifted.std(), 1e-3), 0.2, 2.0))
-        model.log_k = float(model.rate * shifted.mean() - 0.5772156649)
+    """Fits the extreme-value law on the clean ones of rows (label, tokens, best score, all scores), then the link to a probability."""
+    clean = [(n, found) for label, n, _, found in rows if not label and n]
+    chance, length = [x for _, found in clean for x in found], sum(n for n, _ in clean)
+    if length:
+        # segments by chance: K of them a token, their scores exponential, so the best of a text is extreme-value distributed;
+        # the median isn't moved by a few mislabelled texts
+        model.rate = float(np.clip(math.log(2) / max(np.median(chance), 1e-3), 0.2, 2.0)) if chance else 2.0
+        model.log_k = math.log(max(len(chance), 0.5) / length)
     floor = -math.log(MAX_EXPECTED)
     t, y = [], []
     for label, n, _, found in rows:
