@@ -1,25 +1,58 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, tokenisation."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, tokenisation.
+
+Each stage takes all that its predecessor kept and returns whole rows of
+documents; the last adds the tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitegauge.llm import quality_rules
+from sitegauge.llm import decontamination, line_dedup, near_dedup, quality_rules, sentencepiece
 from sitegauge.llm.common import materialize, table
 
 
-def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: rejected documents go."""
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality rules", good_documents)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go; n_chars follows the text."""
+    cut = line_dedup.clean(docs).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of the least id."""
+    return near_dedup.keep_first(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids join the documents."""
+    return sentencepiece.tokenize(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near-dedup", near_dedup_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("SentencePiece", token_stage),
+]
 
-#: The stages that match by edit distance and tokenise have no SQL form.
+#: Edit distance and subword tokens have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,9 +73,11 @@ def _repeated(window_hash: Callable[[Column], Column], n: Column) -> Column:
     return packed, whole, lambda: neighbours("packed", of_packed), lambda: neighbours("whole", of_whole)
 
 
-def measure(docs: DataFrame, common_words: dict[str, list[str]] | None = None) -> DataFrame:
+def measure(docs: DataFrame, common_words: dict[str, list[str]] | None = None, carry: bool = False) -> DataFrame:
     """One row of counts per row of docs, in columns doc_id, lang, n_words, ..., classes, common.
 
+    With `carry`, the whole row goes along as the struct row__.
+
     A null text counts as empty: no words, all counts 0. Repeated rows each
     give a row. Words in repeated 3-word windows are found by sorting the
     windows' hashes with their positions, so a text of n words costs n log n
@@ -82,7 +85,9 @@ def measure(docs: DataFrame, common_words: dict[str, list[str]] | None = None) -
     """
     vocab = vocabulary(common_words)
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), t.alias("text"))
+    row_too = ["row__"] if carry else []
+    row = [F.struct(*docs.columns).alias("row__")] if carry else []
+    df = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), t.alias("text"), *row)
     df = df.withColumn("w", words(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("lines", lines).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
@@ -107,7 +112,7 @@ def measure(docs: DataFrame, common_words: dict[str, list[str]] | None = None) -
     }
     short = n < (1 << POSITION_BITS)
     df = df.select(
-        "doc_id", "lang", "wh",
+        "doc_id", "lang", "wh", *row_too,
         F.when((n >= 3) & short, packed).alias("packed"), F.when((n >= 3) & ~short, whole).alias("whole"),
         F.lower(F.concat(F.lit(" "), F.array_join(F.filter("w", lambda x: x.isin(cased)), "  "), F.lit(" "))).alias("spoken"),
         *(c.cast("long").alias(k) for k, c in counted.items()),
@@ -131,7 +136,7 @@ def measure(docs: DataFrame, common_words: dict[str, list[str]] | None = None) -
         for w in vocab
     ]
     return df.select(
-        "doc_id", "lang", "n_words", (F.col("n_chars") - F.col("n_space")).alias("word_chars"), "n_symbols", "n_dup_lines",
+        *row_too, "doc_id", "lang", "n_words", (F.col("n_chars") - F.col("n_space")).alias("word_chars"), "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array("n_lower", "n_upper", "n_digit", "n_space", "n_symbols", F.col("n_chars") - known).alias("classes"),
         F.array(*common).alias("common"),
@@ -206,48 +211,59 @@ def _word_distance(df: DataFrame, refs: dict[str, dict], vocab: list[str], commo
     return df.drop(*(c for c in df.columns if c.startswith("__")))
 
 
-def judge(
-    docs: DataFrame,
-    min_words: int = MIN_WORDS,
-    max_class_distance: float = MAX_CLASS_DISTANCE,
-    max_word_distance: float = MAX_WORD_DISTANCE,
-    joint_distances: tuple[float, float] = JOINT_DISTANCES,
-    trim: float = TRIM,
-) -> DataFrame:
+@dataclass(frozen=True)
+class Limits:
+    """Beyond these a text is rejected; `trim` bounds the texts that shape the references."""
+
+    min_words: int = MIN_WORDS
+    class_distance: float = MAX_CLASS_DISTANCE
+    word_distance: float = MAX_WORD_DISTANCE
+    joint: tuple[float, float] = JOINT_DISTANCES
+    trim: float = TRIM
+
+    def base_failed(self) -> Column:
+        return (F.col("n_words") < self.min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def fit(measured: DataFrame, limits: Limits) -> dict[str, dict]:
+    """References from all rows that pass the base rules, then once more from those within `trim` of the first.
+
+    So junk doesn't shape them.
+    """
+    vocab = vocabulary()
+    passing = measured.where(~limits.base_failed())
+    first = _class_distance(passing, references(passing, vocab))
+    return references(first.where(F.coalesce("class_distance", F.lit(0.0)) <= limits.trim), vocab)
+
+
+def verdict(measured: DataFrame, refs: dict[str, dict], limits: Limits) -> DataFrame:
+    """Adds class_distance, word_distance, base_failed and kept to counts."""
+    df = _word_distance(_class_distance(measured, refs), refs, vocabulary(), COMMON_WORDS)
+    by_class, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("class_distance", "word_distance"))
+    both = (by_class > limits.joint[0]) & (by_word > limits.joint[1])
+    near = (by_class <= limits.class_distance) & (by_word <= limits.word_distance) & ~both
+    return df.withColumn("base_failed", limits.base_failed()).withColumn("kept", ~F.col("base_failed") & near)
+
+
+def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """Counts, distances and verdict of every row of docs.
 
-    References come from all rows that pass the base rules, then once more
-    from those within `trim` of a first reference, so that junk doesn't shape
-    them. A text is compared with the nearest reference, so a wrong or null
+    A text is compared with the nearest reference, so a wrong or null
     language doesn't reject it. Texts under min_words words fail the base
     rules and their distances don't count. With no language column filled
     there are no references and the base rules alone decide; an empty table
     gives an empty result. Columns of docs other than doc_id, text and lang
     are ignored.
     """
-    vocab = vocabulary()
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = materialize(measure(docs)).withColumn("base_failed", failed)
-    first = _class_distance(df.where("not base_failed"), references(df.where("not base_failed"), vocab))
-    refs = references(first.where(F.coalesce("class_distance", F.lit(0.0)) <= trim), vocab)
-    df = _word_distance(_class_distance(df, refs), refs, vocab, COMMON_WORDS)
-    by_class, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("class_distance", "word_distance"))
-    both = (by_class > joint_distances[0]) & (by_word > joint_distances[1])
-    near = (by_class <= max_class_distance) & (by_word <= max_word_distance) & ~both
-    return df.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "class_distance", "word_distance", "base_failed", (~F.col("base_failed") & near).alias("kept"),
-    )
+    measured = materialize(measure(docs))
+    return verdict(measured, fit(measured, limits), limits).drop("classes", "common")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """The rows of docs that pass, with all their columns.
 
-    Rows are matched to verdicts by doc_id and a hash of the text, so repeated
-    ids are told apart; null ids and texts match null-safely.
+    Rows are written beside their counts, so the texts are measured once and
+    no shuffle joins verdicts to texts.
     """
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    marked = docs.withColumn("__key", key)
-    keyed = marked.select(F.col("__key").alias("doc_id"), "text", "lang")
-    kept = judge(keyed).where("kept").select(F.col("doc_id").alias("__key")).distinct()
-    return marked.join(kept, "__key", "left_semi").drop("__key")
+    measured = materialize(measure(docs, carry=True))
+    return verdict(measured, fit(measured, limits), limits).where("kept").select("row__.*")
