@@ -5,6 +5,303 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import oracles
+from .functions import text, url
+from .operators import content, history, judgment, probes, report, robots, scoring, sitemap, structure
+from .plans import analyze
+from .sources.dimensions import bots
+from .sources.site_views import Site
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Callable[[Site], DataFrame]) -> Callable[[Site], DataFrame]:
+    """Registers a query over the site relations under its name."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Site(spark, sf_dir))
+    return f
+
+
+def _long(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def _url_variants(s: Site) -> DataFrame:
+    return s.ids().withColumn(
+        "raw",
+        F.expr("CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('  ', replace(replace(url, 'https://', ''), 'http://', '')) WHEN 2 THEN upper(url) ELSE concat(url, '?a=1+2/') END"),
+    )
+
+
+@query
+def url_normalize(s: Site) -> DataFrame:
+    return _url_variants(s).select("page_id", url.normalize(F.col("raw")).alias("normalized"))
+
+
+@query
+def url_base(s: Site) -> DataFrame:
+    u = F.col("url")
+    return s.ids().select(
+        "page_id", url.base(u).alias("base"), url.well_known(u, "/robots.txt").alias("robots_url"), url.with_slash(u).alias("slashed"),
+        url.fetchable(u).alias("fetchable"),
+    )
+
+
+@query
+def url_canonical(s: Site) -> DataFrame:
+    return _url_variants(s).select("page_id", url.canonical(F.col("raw")).alias("canonical"))
+
+
+@query
+def word_count(s: Site) -> DataFrame:
+    return s.table("documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"))
+
+
+@query
+def text_clean(s: Site) -> DataFrame:
+    t = F.col("text")
+    return s.table("documents").select(
+        "doc_id", text.collapse(t).alias("collapsed"), F.left(t, F.lit(500)).alias("excerpt"),
+        text.escape_html(F.left(t, F.lit(120))).alias("escaped"),
+    )
+
+
+@query
+def bot_matrix(s: Site) -> DataFrame:
+    return probes.matrix(s.ua_probe()).select("page_id", *_long("bot_ord"), "user_agent", "category", *_long("http_status"), "error", "blocked")
+
+
+@query
+def robots_access(s: Site) -> DataFrame:
+    return robots.access(s.robots_txt()).withColumn("bot_ord", F.col("bot_ord").cast("long"))
+
+
+@query
+def robots_disallowed_paths(s: Site) -> DataFrame:
+    return robots.disallowed_paths(s.robots_txt()).select("page_id", *_long("bot_ord", "pos"), "path")
+
+
+@query
+def robots_sitemaps(s: Site) -> DataFrame:
+    return robots.sitemap_directives(s.robots_txt()).select("page_id", *_long("pos"), "sitemap_url")
+
+
+@query
+def robots_evidence(s: Site) -> DataFrame:
+    return robots.evidence(s.robots_txt()).withColumn("status", F.col("status").cast("long"))
+
+
+@query
+def sitemap_check(s: Site) -> DataFrame:
+    named = robots.sitemap_directives(s.robots_txt()).groupBy("page_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "sitemap_url"))), lambda x: x["sitemap_url"]).alias("directives")
+    )
+    return sitemap.check(s.ids().join(named, "page_id", "left"), s.site_files())
+
+
+@query
+def llms_txt(s: Site) -> DataFrame:
+    return sitemap.llms_txt(s.site_files())
+
+
+@query
+def jsonld_types(s: Site) -> DataFrame:
+    return structure.json_ld(s.site_html()).select("page_id", F.explode("types").alias("type"))
+
+
+@query
+def jsonld_summary(s: Site) -> DataFrame:
+    return structure.json_ld(s.site_html()).withColumn("types", F.array_join("types", ", "))
+
+
+@query
+def meta_tags(s: Site) -> DataFrame:
+    return structure.meta_tags(s.site_html()).drop("og_image")
+
+
+@query
+def canonical_check(s: Site) -> DataFrame:
+    return structure.canonical_check(structure.meta_tags(s.site_html()))
+
+
+@query
+def headings(s: Site) -> DataFrame:
+    df = structure.headings(s.site_html()).select("page_id", F.posexplode("headings").alias("pos", "h"))
+    return df.select("page_id", *_long("pos"), "h.tag", "h.text")
+
+
+@query
+def heading_issues(s: Site) -> DataFrame:
+    return structure.headings(s.site_html()).select("page_id", F.posexplode("hierarchy_issues").alias("pos", "issue")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query
+def js_bundles(s: Site) -> DataFrame:
+    return s.site_html().select("page_id", F.posexplode(content.bundles(F.col("html"))).alias("pos", "src")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query
+def main_content(s: Site) -> DataFrame:
+    return content.extract(s.site_html()).select("page_id", "body_word_count", "fallback")
+
+
+@query
+def spa_flag(s: Site) -> DataFrame:
+    pages = s.site_html()
+    words = content.extract(pages).select("page_id", "body_word_count")
+    has = pages.select("page_id", (F.size(content.bundles(F.col("html"))) > 0).alias("has_bundles"))
+    return words.join(has, "page_id").withColumn("likely_spa", content.likely_spa(F.col("body_word_count"), F.col("has_bundles")))
+
+
+@query
+def tier1_anomaly(s: Site) -> DataFrame:
+    return probes.anomaly(s.ua_probe()).select("page_id", "n_blocked", "n_errored", "search_refused", "training_refused", "anomaly", "reason")
+
+
+@query
+def geo_anomaly(s: Site) -> DataFrame:
+    return probes.geo_difference(s.geo_probe())
+
+
+@query
+def tier_reached(s: Site) -> DataFrame:
+    return probes.escalation(probes.anomaly(s.ua_probe()), s.geo_probe())
+
+
+@query
+def tier3_matrix(s: Site) -> DataFrame:
+    tiers = probes.escalation(probes.anomaly(s.ua_probe()), s.geo_probe())
+    return probes.full_matrix(tiers, s.geo_probe(), bots(s.spark)).select("page_id", *_long("region_ord"), "region", *_long("bot_ord"), "user_agent")
+
+
+@query
+def llm_quality_parse(s: Site) -> DataFrame:
+    return s.llm_raw().select("page_id", judgment.parse_quality(F.col("quality_raw")).alias("x")).select("page_id", "x.*")
+
+
+@query
+def llm_citation_parse(s: Site) -> DataFrame:
+    return s.llm_raw().select("page_id", judgment.parse_citation(F.col("citation_raw")).alias("x")).select("page_id", "x.*")
+
+
+@query
+def llm_cache_key(s: Site) -> DataFrame:
+    return s.table("documents").select("doc_id", judgment.quality_key(F.col("source"), F.col("text")).alias("cache_key"))
+
+
+def _cache(s: Site) -> DataFrame:
+    return s.table("events").select(
+        F.col("event_id").alias("id"), F.concat((F.col("user_id") % 50).cast("string"), F.lit(":"), "event_type").alias("cache_key"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("created_at"), F.least(F.col("value") / 100, F.lit(1.0)).alias("score"),
+    )
+
+
+@query
+def llm_cache_latest(s: Site) -> DataFrame:
+    return judgment.latest(_cache(s)).select("cache_key", "id", "created_at", "score")
+
+
+@query
+def llm_cache_ttl(s: Site) -> DataFrame:
+    cache = judgment.latest(_cache(s))
+    now = _cache(s).agg(F.max("created_at").alias("now"))
+    asked = cache.select("cache_key").crossJoin(F.broadcast(now))
+    found = judgment.lookup(asked, cache.select("cache_key", "created_at", "score").crossJoin(F.broadcast(now.withColumnRenamed("now", "at"))), F.col("at"))
+    return found.select("cache_key", "score", "cached")
+
+
+@query
+def score_breakdown(s: Site) -> DataFrame:
+    return scoring.long_breakdown(scoring.breakdown(analyze.signals(s))).withColumn("item_ord", F.col("item_ord").cast("long"))
+
+
+@query
+def score_total(s: Site) -> DataFrame:
+    return analyze.scored(s).select("page_id", "raw_total", "total", "max_possible", "llm_available", "gate_applied", "gate_reason", "verdict")
+
+
+@query
+def issues_ranked(s: Site) -> DataFrame:
+    return scoring.issues(analyze.scored(s))
+
+
+@query
+def eligibility_report(s: Site) -> DataFrame:
+    return analyze.eligibility_report(s)
+
+
+def _per_bot(s: Site) -> DataFrame:
+    rules = s.robots_txt()
+    return report.per_bot(s.ids(), robots.access(rules), robots.disallowed_paths(rules), s.ua_probe(), bots(s.spark))
+
+
+@query
+def per_bot_table(s: Site) -> DataFrame:
+    df = _per_bot(s).withColumn("bot_ord", F.col("bot_ord").cast("long"))
+    return df.withColumn("paths", F.array_join("disallowed_paths", "|")).drop("disallowed_paths")
+
+
+@query
+def top_paths(s: Site) -> DataFrame:
+    return report.top_paths(_per_bot(s)).withColumn("bot_ord", F.col("bot_ord").cast("long"))
+
+
+@query
+def bot_summaries(s: Site) -> DataFrame:
+    return report.summaries(robots.access(s.robots_txt()))
+
+
+@query
+def fix_pack(s: Site) -> DataFrame:
+    return report.fix_pack(analyze.signals(s)).select("page_id", "filename", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
+
+
+@query
+def breakdown_pct(s: Site) -> DataFrame:
+    return report.breakdown_percent(scoring.long_breakdown(scoring.breakdown(analyze.signals(s))))
+
+
+@query
+def report_json(s: Site) -> DataFrame:
+    scored = analyze.scored(s).withColumn("issues", scoring.issue_list())
+    return report.as_json(scored, _per_bot(s), report.fix_pack(scored), F.lit("2025-01-01T00:00:00+00:00"))
+
+
+@query
+def content_report(s: Site) -> DataFrame:
+    return content.check(s.site_html())
+
+
+@query
+def history_recent(s: Site) -> DataFrame:
+    return history.recent(s.history())
+
+
+@query
+def history_for_url(s: Site) -> DataFrame:
+    return history.for_url(s.history(), "https://site-1.example")
+
+
+@query
+def history_latest(s: Site) -> DataFrame:
+    return history.latest(s.history())
+
+
+@query
+def history_delta(s: Site) -> DataFrame:
+    return history.delta(s.history()).drop("delta_text")
+
+
+@query
+def history_sparkline(s: Site) -> DataFrame:
+    return history.sparkline(s.history())
+
+
+@query
+def history_table(s: Site) -> DataFrame:
+    return history.recent_table(s.history())
+
+
+ORACLE_SQL: dict[str, str] = {name: oracles.sql(name) for name in QUERIES if name in oracles.PARTS}
