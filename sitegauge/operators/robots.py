@@ -11,6 +11,8 @@ from ..sources.dimensions import bots_literal
 
 _RULES = "array<struct<allow:boolean,path:string>>"
 _ENTRY = f"struct<agents:array<string>,rules:{_RULES},delay:int>"
+_PATH = "struct<agent:string,path:string>"
+_SCAN = f"struct<agent:string,out:array<{_PATH}>>"
 _STATE = f"struct<state:int,open:{_ENTRY},done:array<{_ENTRY}>>"
 
 
@@ -99,15 +101,16 @@ def access(robots: DataFrame) -> DataFrame:
 def disallowed_paths(robots: DataFrame) -> DataFrame:
     """page_id, bot_ord, pos, path: Disallow paths under the last user agent line before them, if it is the crawler or *."""
     lines = F.filter(F.transform(txt.lines(F.col("text")), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
-    empty = F.array().cast("array<struct<agent:string,path:string>>")
-    start = F.struct(F.lit("").alias("agent"), empty.alias("out"))
+    start = F.struct(F.lit("").alias("agent"), F.array().alias("out")).cast(_SCAN)
+
+    def state(agent: Column, out: Column) -> Column:
+        return F.struct(agent.alias("agent"), out.alias("out")).cast(_SCAN)
 
     def step(acc: Column, x: Column) -> Column:
-        rest = F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)))
-        agent = F.struct(F.lower(rest).alias("agent"), acc["out"].alias("out"))
-        path = F.struct(acc["agent"].alias("agent"), F.concat(acc["out"], F.array(F.struct(acc["agent"].alias("agent"), rest.alias("path")).cast("struct<agent:string,path:string>"))).alias("out"))
-        low = F.lower(x)
-        return F.when(low.startswith("user-agent:"), agent).when(low.startswith("disallow:") & (rest != ""), path).otherwise(acc)
+        rest, low = F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))), F.lower(x)
+        one = F.struct(acc["agent"].alias("agent"), rest.alias("path")).cast(_PATH)
+        listed = state(acc["agent"], F.concat(acc["out"], F.array(one)))
+        return F.when(low.startswith("user-agent:"), state(F.lower(rest), acc["out"])).when(low.startswith("disallow:") & (rest != ""), listed).otherwise(acc)
 
     found = F.when(usable(F.col("http_status"), F.col("text")), F.aggregate(lines, start, step, lambda acc: acc["out"]))
     df = robots.select("page_id", found.alias("found"), F.explode(bots_literal()).alias("bot"))
