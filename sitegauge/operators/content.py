@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as txt
 
@@ -121,7 +122,7 @@ def main_content(html: str) -> tuple[str, bool]:
     return clean(_text(tree.root)), True
 
 
-@F.pandas_udf("struct<text:string,fallback:boolean>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("fallback", T.BooleanType())]))
 def _extract(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([main_content(h or "") for h in html], columns=["text", "fallback"])
 

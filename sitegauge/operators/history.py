@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
 
-_NEWEST = W.partitionBy("url").orderBy(F.desc("timestamp"), F.desc("id"))
-_OLDEST = W.partitionBy("url").orderBy("timestamp", "id")
+
+def _newest() -> WindowSpec:
+    return W.partitionBy("url").orderBy(F.desc("timestamp"), F.desc("id"))
 
 
 def for_url(history: DataFrame, url: str, limit: int = 20) -> DataFrame:
@@ -18,7 +20,7 @@ def for_url(history: DataFrame, url: str, limit: int = 20) -> DataFrame:
 
 def recent(history: DataFrame, limit: int = 20) -> DataFrame:
     """The newest runs of every URL, with their rank; a rank filter over a window prunes before the shuffle."""
-    ranked = history.select("id", "url", "timestamp", "score", "verdict").withColumn("rn", F.row_number().over(_NEWEST).cast("long"))
+    ranked = history.select("id", "url", "timestamp", "score", "verdict").withColumn("rn", F.row_number().over(_newest()).cast("long"))
     return ranked.where(F.col("rn") <= limit)
 
 
@@ -44,7 +46,7 @@ def sparkline(history: DataFrame, width: float = 252.0, height: float = 40.0) ->
     """url, id, i, x, y of every run in order of time; URLs with one run have none."""
     whole = W.partitionBy("url")
     df = history.select(
-        "url", "id", "score", (F.row_number().over(_OLDEST) - 1).cast("long").alias("i"), F.count("*").over(whole).alias("n"),
+        "url", "id", "score", (F.row_number().over(W.partitionBy("url").orderBy("timestamp", "id")) - 1).cast("long").alias("i"), F.count("*").over(whole).alias("n"),
         F.least(F.min("score").over(whole), F.lit(0.0)).alias("low"), F.greatest(F.max("score").over(whole), F.lit(1.0)).alias("high"),
     ).where("n > 1")
     span = F.greatest(F.col("high") - F.col("low"), F.lit(1.0))
@@ -56,6 +58,6 @@ def sparkline(history: DataFrame, width: float = 252.0, height: float = 40.0) ->
 def recent_table(history: DataFrame, rows: int = 8) -> DataFrame:
     """The newest rows of URLs that ran more than once."""
     ranked = history.select(
-        "url", "id", "score", "verdict", F.row_number().over(_NEWEST).cast("long").alias("rn"), F.count("*").over(W.partitionBy("url")).alias("n")
+        "url", "id", "score", "verdict", F.row_number().over(_newest()).cast("long").alias("rn"), F.count("*").over(W.partitionBy("url")).alias("n")
     )
     return ranked.where((F.col("rn") <= rows) & (F.col("n") > 1)).drop("n")

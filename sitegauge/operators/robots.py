@@ -76,7 +76,7 @@ def access(robots: DataFrame) -> DataFrame:
 
     The first group one of whose agents stands within the crawler's name
     decides, else the first group for all; in it the first rule whose path
-    begins the URL's path. A file that is missing, empty or failed allows all.
+    begins the URL's path, taken literally (a path * begins none). A file that is missing, empty or failed allows all.
     """
     known = usable(F.col("http_status"), F.col("text"))
     path = F.regexp_replace(urls.with_slash(F.col("url")), r"^https?://[^/?#]*", "")
@@ -89,7 +89,7 @@ def access(robots: DataFrame) -> DataFrame:
     df = df.select("*", F.explode(bots_literal()).alias("bot"))
     mine = F.filter("named", lambda g: F.exists(g["agents"], lambda a: F.contains(F.lower(F.col("bot.user_agent")), a)))
     df = df.withColumn("group", F.coalesce(F.get(mine, F.lit(0)), F.col("default")))
-    hits = F.filter(F.col("group.rules"), lambda r: (r["path"] == "*") | F.startswith(F.col("path"), r["path"]))
+    hits = F.filter(F.col("group.rules"), lambda r: F.startswith(F.col("path"), r["path"]))
     return df.select(
         "page_id", "bot.bot_ord", "bot.user_agent", "bot.category",
         F.coalesce(F.get(hits, F.lit(0))["allow"], F.lit(True)).alias("allowed"),

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as txt
 from ..functions import url as urls
@@ -23,7 +24,12 @@ def _types(item: object) -> list[str]:
     return [str(t) for t in own] if isinstance(own, list) else [str(own)]
 
 
-@F.pandas_udf("struct<malformed:boolean,schema_count:long,types:array<string>>")
+_BLOCKS = T.StructType(
+    [T.StructField("malformed", T.BooleanType()), T.StructField("schema_count", T.LongType()), T.StructField("types", T.ArrayType(T.StringType()))]
+)
+
+
+@F.pandas_udf(_BLOCKS)
 def _read_blocks(blocks: pd.Series) -> pd.DataFrame:
     """Strict JSON: a block that fails marks the page and counts for nothing; blank ones are skipped."""
     rows = []

@@ -50,7 +50,7 @@ PARTS |= {
     "rb_default": ("rb_group", "SELECT page_id, min(seg) AS seg FROM rb_group WHERE is_default GROUP BY ALL"),
     "rb_chosen": ("robots_txt bots rb_named rb_default", "SELECT r.page_id, b.bot_ord, b.user_agent, b.category, coalesce(n.seg, f.seg) AS seg, coalesce(r.http_status = 200 AND r.text <> '', false) AS known, coalesce(nullif(regexp_replace(CASE WHEN ends_with(url, '/') THEN url ELSE concat(url, '/') END, '^https?://[^/?#]*', ''), ''), '/') AS path FROM robots_txt r CROSS JOIN bots b LEFT JOIN rb_named n ON n.page_id = r.page_id AND n.bot_ord = b.bot_ord LEFT JOIN rb_default f ON f.page_id = r.page_id"),
     "rb_rules": ("rb_seg rb_group", "SELECT s.page_id, s.seg, s.pos, s.key, s.val FROM rb_seg s JOIN rb_group g USING (page_id, seg) WHERE s.kind = 'R' AND s.pos > g.upos"),
-    "robots_access": ("rb_chosen rb_rules", "SELECT c.page_id, c.bot_ord::BIGINT AS bot_ord, c.user_agent, c.category, coalesce(arg_min(r.key = 'allow' OR r.val = '', r.pos) FILTER (r.key IN ('allow', 'disallow') AND (r.val = '*' OR starts_with(c.path, r.val))), true) AS allowed, arg_max(try_cast(r.val AS DOUBLE), r.pos) FILTER (r.key = 'crawl-delay' AND regexp_matches(r.val, '^[0-9]+$')) AS crawl_delay, CASE WHEN c.known THEN 'robots.txt' ELSE 'default-allow' END AS rule_source FROM rb_chosen c LEFT JOIN rb_rules r ON r.page_id = c.page_id AND r.seg = c.seg GROUP BY c.page_id, c.bot_ord, c.user_agent, c.category, c.known"),
+    "robots_access": ("rb_chosen rb_rules", "SELECT c.page_id, c.bot_ord::BIGINT AS bot_ord, c.user_agent, c.category, coalesce(arg_min(r.key = 'allow' OR r.val = '', r.pos) FILTER (r.key IN ('allow', 'disallow') AND starts_with(c.path, r.val)), true) AS allowed, arg_max(try_cast(r.val AS DOUBLE), r.pos) FILTER (r.key = 'crawl-delay' AND regexp_matches(r.val, '^[0-9]+$')) AS crawl_delay, CASE WHEN c.known THEN 'robots.txt' ELSE 'default-allow' END AS rule_source FROM rb_chosen c LEFT JOIN rb_rules r ON r.page_id = c.page_id AND r.seg = c.seg GROUP BY c.page_id, c.bot_ord, c.user_agent, c.category, c.known"),
     "rb_scan": ("rb_lines", "SELECT page_id, pos, trim(raw) AS line FROM rb_lines WHERE trim(raw) <> '' AND NOT starts_with(trim(raw), '#')"),
     "rb_agent": ("rb_scan", "SELECT *, last_value(CASE WHEN starts_with(lower(line), 'user-agent:') THEN lower(trim(substr(line, 12))) END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) AS agent FROM rb_scan"),
     "robots_disallowed_paths": ("rb_agent bots", "SELECT a.page_id, b.bot_ord::BIGINT AS bot_ord, (row_number() OVER (PARTITION BY a.page_id, b.bot_ord ORDER BY a.pos) - 1)::BIGINT AS pos, trim(substr(line, 10)) AS path FROM rb_agent a JOIN bots b ON a.agent = lower(b.user_agent) OR a.agent = '*' WHERE starts_with(lower(line), 'disallow:') AND trim(substr(line, 10)) <> ''"),
