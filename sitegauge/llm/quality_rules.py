@@ -32,7 +32,6 @@ MAX_WORD_DISTANCE = 0.60
 #: Beyond both of these a text is odd in both histograms.
 JOINT_DISTANCES = (0.16, 0.24)
 MAX_REFERENCES = 64
-TRIM = 0.15
 
 
 def vocabulary(common_words: dict[str, list[str]] | None = None) -> list[str]:
@@ -213,27 +212,32 @@ def _word_distance(df: DataFrame, refs: dict[str, dict], vocab: list[str], commo
 
 @dataclass(frozen=True)
 class Limits:
-    """Beyond these a text is rejected; `trim` bounds the texts that shape the references."""
+    """Beyond these a text is rejected."""
 
     min_words: int = MIN_WORDS
     class_distance: float = MAX_CLASS_DISTANCE
     word_distance: float = MAX_WORD_DISTANCE
     joint: tuple[float, float] = JOINT_DISTANCES
-    trim: float = TRIM
 
     def base_failed(self) -> Column:
         return (F.col("n_words") < self.min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def fit(measured: DataFrame, limits: Limits) -> dict[str, dict]:
-    """References from all rows that pass the base rules, then once more from those within `trim` of the first.
+    """References from all rows that pass the base rules, then once more from those nearer to the first than their language's mean.
 
-    So junk doesn't shape them.
+    So junk doesn't shape them while most texts of a language aren't junk,
+    however much there is. Both steps are sums over all rows.
     """
     vocab = vocabulary()
     passing = measured.where(~limits.base_failed())
-    first = _class_distance(passing, references(passing, vocab))
-    return references(first.where(F.coalesce("class_distance", F.lit(0.0)) <= limits.trim), vocab)
+    refs = references(passing, vocab)
+    if not refs:
+        return refs
+    first = _class_distance(passing.where(F.col("lang").isin(list(refs))), refs)
+    means = first.groupBy("lang").agg(F.avg("class_distance")).collect()  # a row for each reference
+    of_lang = F.create_map(*(F.lit(x) for r in means for x in r))
+    return references(first.where(F.col("class_distance") <= F.element_at(of_lang, F.col("lang"))), vocab)
 
 
 def verdict(measured: DataFrame, refs: dict[str, dict], limits: Limits) -> DataFrame:
