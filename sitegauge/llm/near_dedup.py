@@ -27,6 +27,7 @@ BANDS, ROWS = 20, 4
 PAIRED = 3
 CACHED_WORDS = 200_000
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_MASK = (1 << 64) - 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -80,15 +81,15 @@ def bag_min_hash(elements: np.ndarray, weights: np.ndarray, size: int = BANDS *
         has = weights > low
         if not has.any():
             break
-        seeds.append(_mix(elements[has] + np.uint64(block) * _ODD[1]))
+        seeds.append(_mix(elements[has] + np.uint64(block * int(_ODD[1]) & _MASK)))
         inside.append(np.minimum(weights[has] - low, width))
         widths.append(np.full(int(has.sum()), width, np.int64))
         low, width, block = low + width, (width if block == 0 else width * 2), block + 1
     seed, wide, level = np.concatenate(seeds), np.concatenate(widths), np.concatenate(inside)
-    time, step = np.zeros(len(seed)), np.uint64(0)
+    time, step = np.zeros(len(seed)), 0
     while len(seed):
-        step += np.uint64(1)
-        a = _mix(seed + step * _ODD[0])
+        step += 1
+        a = _mix(seed + np.uint64(step * int(_ODD[0]) & _MASK))
         b = _mix(a ^ _ODD[2])
         time = time - np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (size * wide)
         on = (b & np.uint64(0xFFFFFFFF)) % np.uint64(size)

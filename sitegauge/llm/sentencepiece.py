@@ -102,7 +102,7 @@ def build_trie(words: dict[bytes, int]) -> Trie:
         ends[node] = i
     size = 1024
     base, check, piece = [0] * size, [-1] * size, [-1] * size
-    check[0] = 0
+    check[0] = -2  # the root is nobody's child
     first, todo = 1, [(0, 0)]
     while todo:
         node, state = todo.pop()
