@@ -271,3 +271,66 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
     """
     measured = materialize(measure(docs, carry=True))
     return verdict(measured, fit(measured, limits), limits).where("kept").select("row__.*")
+
+
+def oracle_sql(limits: Limits = Limits()) -> str:  # noqa: B008
+    """The counts and the verdict for DuckDB, over table documents with unique ids."""
+    vocab = vocabulary()
+    quoted = ", ".join(f"'{w}'" for w in vocab)
+    lists = ", ".join(f"('{lang}', '{w}')" for lang, ws in COMMON_WORDS.items() for w in dict.fromkeys(ws))
+    cased = ", ".join(f"'{x}'" for w in vocab for x in sorted({w, w.capitalize()}))
+    plogp = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END"
+    size = "length(regexp_replace(t, '{0}', '', 'g'))"
+
+    def distances(name: str, shares: str, refs: str, keys: str) -> str:
+        mixed = plogp.format("((p.p + q.q) / 2)")
+        own, fixed = plogp.format("p.p"), plogp.format("q.q")
+        return f"""{name} AS (
+  SELECT doc_id, min(d) AS d FROM (
+    SELECT p.doc_id, q.lang, sqrt(greatest((sum({own}) + sum({fixed})) / 2 - sum({mixed}), 0)) AS d
+    FROM {shares} p JOIN {refs} q ON {keys} GROUP BY ALL) GROUP BY doc_id)"""
+
+    return f"""
+WITH base AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+tri AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (
+    SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(w[1:len(w) - 2]) AS a, unnest(w[2:len(w) - 1]) AS b, unnest(w[3:len(w)]) AS c FROM base WHERE len(w) >= 3)),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM tri WHERE n > 1) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - {size.format('[#*$%&|<>]')})::BIGINT AS n_symbols,
+    (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) -
+     len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words, length(t) AS n_chars, w,
+    [length(t) - {size.format('\\p{Ll}')}, length(t) - {size.format('\\p{Lu}')}, length(t) - {size.format('[0-9]')}, length(t) - {size.format('[\\x20\\x09-\\x0D]')}, length(t) - {size.format('[#*$%&|<>]')}] AS k
+  FROM base LEFT JOIN covered USING (doc_id)),
+judged AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+cls AS (
+  SELECT doc_id, lang, base_failed, unnest(range(6)) AS i, unnest(list_append(k, n_chars - list_sum(k)))::DOUBLE AS n, greatest(n_chars, 1) AS total FROM judged),
+cls_p AS (SELECT doc_id, lang, i, n / total AS p FROM cls),
+first_sum AS (SELECT lang, i, sum(n) AS n FROM cls WHERE NOT base_failed AND lang IS NOT NULL GROUP BY ALL),
+first_q AS (SELECT lang, i, n / sum(n) OVER (PARTITION BY lang) AS q FROM first_sum),
+{distances('first_d', 'cls_p', 'first_q', 'p.i = q.i')},
+near AS (
+  SELECT doc_id FROM (SELECT j.doc_id, d, avg(d) OVER (PARTITION BY lang) AS mean FROM judged j JOIN first_d USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL) WHERE d <= mean),
+cls_sum AS (SELECT lang, i, sum(n) AS n FROM cls SEMI JOIN near USING (doc_id) GROUP BY ALL),
+cls_q AS (SELECT lang, i, n / sum(n) OVER (PARTITION BY lang) AS q FROM cls_sum),
+{distances('cls_d', 'cls_p', 'cls_q', 'p.i = q.i')},
+listed AS (SELECT * FROM (VALUES {lists}) v(lang, word)),
+spoken AS (
+  SELECT doc_id, lower(x) AS word, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(w) AS x FROM judged) WHERE x IN ({cased}) AND lower(x) IN ({quoted}) GROUP BY ALL),
+word_n AS (
+  SELECT j.doc_id, j.lang AS own, l.lang, l.word, coalesce(s.n, 0) AS n, j.n_words FROM judged j CROSS JOIN listed l LEFT JOIN spoken s ON s.doc_id = j.doc_id AND s.word = l.word),
+word_all AS (
+  SELECT doc_id, own, lang, word, n, n_words FROM word_n
+  UNION ALL SELECT doc_id, own, lang, '', n_words - sum(n), n_words FROM word_n GROUP BY doc_id, own, lang, n_words),
+word_p AS (SELECT doc_id, lang, word, n / greatest(n_words, 1) AS p FROM word_all),
+word_sum AS (SELECT lang, word, sum(n) AS n FROM word_all SEMI JOIN near USING (doc_id) WHERE own = lang GROUP BY ALL),
+word_q AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS q FROM word_sum),
+{distances('word_d', 'word_p', 'word_q', 'p.lang = q.lang AND p.word = q.word')}
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(c.d, 0) <= {limits.class_distance} AND coalesce(x.d, 0) <= {limits.word_distance}
+    AND NOT (coalesce(c.d, 0) > {limits.joint[0]} AND coalesce(x.d, 0) > {limits.joint[1]}) AS kept
+FROM judged j LEFT JOIN cls_d c USING (doc_id) LEFT JOIN word_d x USING (doc_id)
+"""

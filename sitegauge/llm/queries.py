@@ -74,4 +74,7 @@ QUERIES: dict[str, Query] = {
     "op10_hilbert_sharding": op10_hilbert_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality_rules.oracle_sql(),
+    "op3_line_dedup": line_dedup.oracle_sql(),
+}
