@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,17 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Shipped:
+    """A value for every task, broadcast with the classes it is made of, so that workers need not find this package."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self._packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> object:
+        return cloudpickle.loads(self._packed.value)
+
+
 def by_slice(
     work: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = SLICE
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -75,3 +88,6 @@ def words(text: Column) -> Column:
 def crc_fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; rows of fold 0 are held out of all training. A null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice
+from .common import Shipped, by_slice
 
 #: Edits allowed for a character of an item, and the shortest item looked for.
 ERROR_SHARE = 0.06
@@ -150,7 +150,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     place = kept.columns.index("text")
     for items in _blocks(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast(items)
+        shipped = Shipped(docs.sparkSession, items)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             finder = Finder(shipped.value, error_share)

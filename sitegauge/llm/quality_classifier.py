@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, crc_fold
+from .common import Shipped, by_slice, crc_fold
 from .training import sample
 
 BITS = 18
@@ -110,7 +110,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     A null text counts as empty; an empty text gets the bias alone. Other
     columns of docs are ignored; an empty table gives an empty result.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
+    shipped = Shipped(docs.sparkSession, weights.astype(np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, w = WordHashes(), shipped.value

@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice
+from .common import Shipped, by_slice
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -278,7 +278,7 @@ def tokenize(docs: DataFrame, model: str = MODEL) -> DataFrame:
     length. Rows are independent, so repeated rows and empty tables need
     nothing special.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(load(model))
+    shipped = Shipped(docs.sparkSession, load(model))
     added = [("tokens", "array<int>"), ("n_tokens", "int"), ("n_byte_tokens", "int"), ("round_trip", "boolean")]
     kept = docs.drop(*(n for n, _ in added))
     place = kept.columns.index("text")

@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, crc_fold
+from .common import Shipped, by_slice, crc_fold
 from .training import sample
 
 BITS = 20
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         at = b["bin"].to_numpy()
         count[0, at], count[1, at] = b["n0"].to_numpy(), b["n1"].to_numpy()
     model = Model(log_odds(count[1], count[0]).astype(np.float32))
-    table = docs.sparkSession.sparkContext.broadcast(model.table)
+    table = Shipped(docs.sparkSession, model.table)
     rest = drawn.where(~for_scores).select("text", "label").mapInArrow(_best(table), "label int, n int, best double, found array<double>")
     return calibrate(model, [tuple(r) for r in rest.collect()])
 
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     A null text counts as empty and has none. Other columns of docs are
     ignored; an empty table gives an empty result.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = Shipped(docs.sparkSession, model)
     passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
