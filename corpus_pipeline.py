@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; n_chars follows the text."""
-    cut = line_dedup.clean(docs).select(*docs.columns)
+    """Boilerplate lines of any length go; n_chars follows the text."""
+    cut = line_dedup.clean(docs, min_chars=None).select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

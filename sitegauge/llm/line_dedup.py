@@ -18,14 +18,19 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, site and key of each distinct line of a row, of min_chars or more."""
-    long = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1), lambda x: F.length(x) >= min_chars)
+def _counts(line: Column, min_chars: int | None) -> Column:
+    """Whether a line is looked at: of min_chars or more, or any that isn't blank where min_chars is None."""
+    return ~line.rlike(r"^\s*$") if min_chars is None else F.length(line) >= min_chars
+
+
+def _lines(docs: DataFrame, min_chars: int | None) -> DataFrame:
+    """doc_id, site and key of each distinct line of a row that is looked at."""
+    long = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1), lambda x: _counts(x, min_chars))
     keys = F.transform(F.array_distinct(long), _key)
     return docs.select("doc_id", F.col("source").alias("site"), F.explode(keys).alias("line"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, lg_k: int = LG_K) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int | None = MIN_CHARS, lg_k: int = LG_K) -> DataFrame:
     """line (key) and keeper (its least doc_id) of every line on min_sites distinct sites or more.
 
     Each line's sites go to a sketch that merges before and after the shuffle,
@@ -52,7 +57,7 @@ def _band(min_sites: int, lg_k: int) -> int:
     return int(4 * 1.04 / 2 ** (lg_k / 2) * min_sites) + 1
 
 
-def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, lg_k: int = LG_K) -> DataFrame:
+def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int | None = MIN_CHARS, lg_k: int = LG_K) -> DataFrame:
     """docs with boilerplate lines taken out of text, and n_lines and n_dropped.
 
     A boilerplate line stays in the document of the least id that has it, so
@@ -60,7 +65,8 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHAR
     rows with a null id keep their lines and are nobody's keeper. A null text
     stays null and has 0 lines. A text all of whose lines go becomes ''.
     Columns n_lines and n_dropped of docs are replaced, others stay; an empty
-    table gives an empty result.
+    table gives an empty result. With min_chars None every line that isn't
+    blank is looked at, however short.
     """
     bad = materialize(boilerplate(docs, min_sites, min_chars, lg_k))
     hits = _lines(docs.where(F.col("doc_id").isNotNull()), min_chars).select("doc_id", "line").join(bad, "line")
@@ -72,7 +78,7 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHAR
     kept = docs.drop("n_lines", "n_dropped", "__drop")
     df = kept.join(drops, "doc_id", "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    stay = F.filter(lines, lambda x: (F.length(x) < min_chars) | ~F.array_contains("__drop", _key(x)))
+    stay = F.filter(lines, lambda x: ~_counts(x, min_chars) | ~F.array_contains("__drop", _key(x)))
     df = df.withColumn("__stay", F.when(F.col("__drop").isNotNull(), stay))
     n = F.coalesce(F.size(lines), F.lit(0))
     return df.select(

@@ -50,6 +50,12 @@ def test_exact_counts_decide_near_the_threshold(spark):
         assert by[line] == ((0, 2 * n) if n < 10 else (0, 1))
 
 
+def test_line_stage_takes_short_lines(spark):
+    rows = [(i, f"own {i}\nLes.\n \n\nö", "en", f"s{i % 12}", 20) for i in range(24)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == {i: f"own {i}\n \n" if i else rows[0][1] for i in range(24)}
+
+
 def test_line_dedup_odd_and_empty(odd, none):
     rows = line_dedup.clean(odd).collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in rows) == sorted((r.doc_id or -1, r.text or "") for r in odd.collect())
