@@ -163,8 +163,19 @@ def _stars(members: DataFrame, key: list, centre) -> DataFrame:
     return keyed.join(centres, "bucket").where(F.col("node") != F.col("u")).select("u", F.col("node").alias("v"))
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes to verify, from rows (node, bands); linear in the number of bucket members.
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """node, bands, i, bucket and score of every member of a bucket of two or more, from rows (node, bands)."""
+    exploded = nodes.select("node", "bands", F.posexplode("bands").alias("i", "key"))
+    bucket = F.xxhash64("i", "key").alias("bucket")
+    rows = exploded.select("node", "bands", "i", bucket)
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(rows.join(full, "bucket").select("node", "bands", "i", "bucket", "n"))
+    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
+    return materialize(shared.drop("n").join(score, "node"))
+
+
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes to verify first, from bucket_members(); linear in their number.
 
     Each bucket's most central member, whose buckets are fullest, is paired
     with all others; so a text and its edited copies meet even where two
@@ -172,13 +183,6 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     the least and the largest node, which are other centres. A bucket's
     pairs are as many as its members, never their square.
     """
-    exploded = nodes.select("node", "bands", F.posexplode("bands").alias("i", "key"))
-    bucket = F.xxhash64("i", "key").alias("bucket")
-    rows = exploded.select("node", "bands", "i", bucket)
-    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(rows.join(full, "bucket").select("node", "bands", "i", "bucket", "n"))
-    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    members = materialize(shared.drop("n").join(score, "node"))
     pairs = _stars(members, ["bucket"], F.max_by("node", F.struct("score", "node")))
     for j in range(1, PAIRED + 1):
         other = F.element_at("bands", (F.col("i") + j) % BANDS + 1)
@@ -187,6 +191,23 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct().select("u", "v")
 
 
+def open_pairs(members: DataFrame, labels: DataFrame, seen: DataFrame) -> DataFrame:
+    """Pairs (u, v) that share a bucket, aren't in `seen` and whose nodes lie in different components.
+
+    A bucket's members outside its most frequent component meet all members
+    of other components, so a large family in one component costs nothing.
+    """
+    of = members.select("node", "bucket").join(labels, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
+    of = materialize(of)
+    sizes = of.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    mine = of.join(mixed.select("bucket", "main"), "bucket")
+    rest = mine.where(F.col("label") != F.col("main")).select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
+    meet = rest.join(mine.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket").where(F.col("la") != F.col("lb"))
+    pairs = meet.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct().select("u", "v")
+    return pairs.join(seen.select("u", "v"), ["u", "v"], "left_anti")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in links (u, v): label is the least node of its connected component.
 
@@ -207,6 +228,22 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("node", "label")
 
 
+def _links(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose texts overlap by `least` or more."""
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    first = nodes.join(ends, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
+    # texts are fetched by id and told apart by hash
+    texts = materialize(
+        keyed.join(first.withColumnRenamed("node", "wanted"), "doc_id")
+        .where(F.col("node") == F.col("wanted"))
+        .select("node", "text")
+        .dropDuplicates(["node"])
+    )
+    left = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+    both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").select("u", "v", "text_u", "text_v")
+    return materialize(both.mapInArrow(_similar(least), "u binary, v binary"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, class_size and n_texts of every row of docs.
 
@@ -224,20 +261,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = materialize(
         signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     )
-    pairs = materialize(candidate_pairs(nodes.select("node", "bands")))
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    first = nodes.join(ends, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-    # texts are fetched by id and told apart by hash
-    texts = materialize(
-        keyed.join(first.withColumnRenamed("node", "wanted"), "doc_id")
-        .where(F.col("node") == F.col("wanted"))
-        .select("node", "text")
-        .dropDuplicates(["node"])
-    )
-    left = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-    both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").select("u", "v", "text_u", "text_v")
-    links = materialize(both.mapInArrow(_similar(similarity), "u binary, v binary"))
+    members = bucket_members(nodes.select("node", "bands"))
+    pairs = materialize(candidate_pairs(members))
+    links = _links(keyed, nodes, pairs, similarity)
     labels = components(links)
+    # what the stars leave: pairs of one bucket that no chain of links joins yet, each verified
+    further = materialize(open_pairs(members, labels, pairs))
+    if further.limit(1).count():
+        more = _links(keyed, nodes, further, similarity)
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
     grouped = nodes.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"))
     joined = grouped.groupBy("label").agg(
         F.min("first").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts")

@@ -110,6 +110,28 @@ def test_near_copies_by_brute_force(spark):
     assert {r.doc_id for r in near_dedup.keep_first(df).collect()} == set(got.values())
 
 
+def family(seed, pairs=100):
+    """A text, edited copies at about 0.8 to it, and a copy at about 0.8 to each of these."""
+    rng = random.Random(seed)
+    base = prose(rng, 150, 10_000).split()
+    out = [" ".join(base)]
+    for k in range(pairs):
+        own = list(base)
+        for at in rng.sample(range(4, 146, 6), 3):
+            own[at] = f"y{k}at{at}"
+        out.append(" ".join(own))
+        for at in rng.sample(range(4, 146, 6), 3):
+            own[at] = f"z{k}at{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_near_copies_far_from_their_centre(spark):
+    texts = dict(enumerate(t for seed in (3, 7) for t in family(seed)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == brute_classes(texts)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in [*range(1, 30), *range(40, 42)]], "u binary, v binary")
     got = {r.node[0]: r.label[0] for r in near_dedup.components(links).collect()}
