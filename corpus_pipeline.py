@@ -13,6 +13,10 @@ from sitegauge.llm import decontamination, line_dedup, near_dedup, quality_rules
 from sitegauge.llm.common import materialize, table
 
 
+#: A line on this many distinct sites goes, few enough for passages to be seen where one source holds half of all documents.
+LINE_SITES = 5
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.keep_good(docs)
@@ -20,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of any length go; n_chars follows the text."""
-    cut = line_dedup.clean(docs, min_chars=None).select(*docs.columns)
+    cut = line_dedup.clean(docs, min_sites=LINE_SITES, min_chars=None).select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

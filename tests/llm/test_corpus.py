@@ -56,6 +56,13 @@ def test_line_stage_takes_short_lines(spark):
     assert got == {i: f"own {i}\n \n" if i else rows[0][1] for i in range(24)}
 
 
+def test_line_stage_sees_passages_under_a_hot_source(spark):
+    passage = prose(random.Random(2), 60)
+    rows = [(i, f"own {i}\n{passage}", "en", f"s{i}" if i % 2 else "hot", 9) for i in range(12)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == {i: f"own {i}" if i else rows[0][1] for i in range(12)}
+
+
 def test_line_dedup_odd_and_empty(odd, none):
     rows = line_dedup.clean(odd).collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in rows) == sorted((r.doc_id or -1, r.text or "") for r in odd.collect())
