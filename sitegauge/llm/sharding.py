@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import sys
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +20,6 @@ BITS = 6
 DIMENSIONS = ("lang", "source", "n_chars")
 #: Rows that one task ranks.
 ROWS_PER_RANGE = 250_000
-_PREFIX = 6
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -50,21 +50,55 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(col: Column, kind: T.DataType) -> Column:
-    """A column as a double that keeps its order; strings by their first bytes, null before all else."""
+def _key(col: Column, kind: T.DataType) -> Column:
+    """A string as its bytes; other columns as a double that keeps their order, null before all else."""
     if isinstance(kind, T.StringType):
-        hexed = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, _PREFIX)), 2 * _PREFIX, "0")
-        return F.coalesce(F.conv(hexed, 16, 10).cast("double"), F.lit(-1.0))
+        return col.cast("binary")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.coalesce(F.unix_micros(col.cast("timestamp")).cast("double"), F.lit(float("-inf")))
     return F.coalesce(col.cast("double"), F.lit(float("-inf")))
 
 
-def cut_points(numbers: DataFrame, names: list[str], bits: int) -> list[list[float]]:
+def _string_cuts(keys: DataFrame, name: str, parts: int) -> list[bytes | None]:
+    """The values at which the shares i / parts of all rows are reached, in order of whole strings, null first.
+
+    Distinct values are counted and sorted by range; a value's rank is its
+    range's offset plus the counts before it in the range.
+    """
+    counted = materialize(keys.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n")))
+    ranges = max(1, -(-counted.count() // ROWS_PER_RANGE))
+    ranged = materialize(counted.repartitionByRange(ranges, "value").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    offsets, total = [], 0
+    for r in sums:
+        offsets.append((r["part"], total))
+        total += r["n"]
+    if not total:
+        return []
+    known = keys.sparkSession.createDataFrame(offsets, "part int, offset long")
+    upto = F.col("offset") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    # the shares a value reaches: those above (upto - n) / total, up to upto / total; the whole is no cut
+    ranked = ranged.join(F.broadcast(known), "part").withColumn("upto", upto)
+    reached, before = (F.expr(f"least({x} * {parts}L, {total * parts - 1}L) div {total}L") for x in ("upto", "(upto - n)"))
+    return [r["value"] for r in ranked.where(reached > before).orderBy("upto").select("value").collect()]
+
+
+def cut_points(keys: DataFrame, names: list[str], bits: int) -> list[list]:
     """At most 2**bits - 1 increasing quantiles of each column, over all rows."""
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = numbers.agg(*(F.percentile_approx(n, shares, 10_000).alias(n) for n in names)).collect()[0]
-    return [sorted(set(row[n] or [])) for n in names]
+    strings = {f.name for f in keys.schema.fields if isinstance(f.dataType, T.BinaryType)}
+    numbers = [n for n in names if n not in strings]
+    row = keys.agg(*(F.percentile_approx(n, shares, 10_000).alias(n) for n in numbers)).collect()[0] if numbers else {}
+    return [_string_cuts(keys, n, 1 << bits) if n in strings else sorted(set(row[n] or [])) for n in names]
+
+
+def _passed(cuts: list, x: pd.Series, string: bool) -> np.ndarray:
+    """How many cut points each value has reached."""
+    if not string:
+        return np.searchsorted(cuts, x.to_numpy(), side="right")
+    known = [bytes(c) for c in cuts if c is not None]
+    codes, values = pd.factorize(x)  # the code of null is -1
+    return np.array([*(bisect_right(known, v) for v in values), 0])[codes] + (len(cuts) - len(known))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
@@ -84,18 +118,19 @@ def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
     t = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     names = [f"d{i}" for i in range(len(dimensions))]
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    numbers = docs.select(*(_number(F.col(d), kinds[d]).alias(n) for d, n in zip(dimensions, names, strict=True)))
-    cuts = cut_points(numbers, names, bits)
+    metadata = docs.select(*(_key(F.col(d), kinds[d]).alias(n) for d, n in zip(dimensions, names, strict=True)))
+    cuts = cut_points(metadata, names, bits)
+    string = [isinstance(kinds[d], T.StringType) for d in dimensions]
 
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
         # few distinct values spread over the whole axis, else a coarse dimension would only sway the curve's lowest bits
-        at = [np.searchsorted(c, x.to_numpy(), side="right") * (1 << bits) // (len(c) + 1) for c, x in zip(cuts, columns, strict=True)]
+        at = [_passed(c, x, s) * (1 << bits) // (len(c) + 1) for c, x, s in zip(cuts, columns, string, strict=True)]
         return pd.Series(hilbert_index(np.stack(at, 1), bits))
 
     keys = docs.select(
         "doc_id", (F.length(t) + 8).cast("long").alias("size"), F.crc32(t).cast("long").alias("text_crc32"),
-        *(_number(F.col(d), kinds[d]).alias(n) for d, n in zip(dimensions, names, strict=True)),
+        *(_key(F.col(d), kinds[d]).alias(n) for d, n in zip(dimensions, names, strict=True)),
     )
     order = ["hilbert", "text_crc32", "doc_id"]
     keys = materialize(keys.select("doc_id", "size", "text_crc32", curve(*names).alias("hilbert")))

@@ -183,6 +183,16 @@ def test_shards_hold_equal_counts_in_order(spark):
     assert np.mean([len(x) for x in spread.values()]) < 2
 
 
+def test_sources_that_share_a_prefix_stay_apart(spark):
+    names = [f"https://www.site-{i:02d}.example" for i in range(16)]
+
+    def index(of):
+        df = spark.createDataFrame([(i, f"t{i}", "en", of(i % 17), 5) for i in range(340)], DOCS)
+        return {r.doc_id: r.hilbert for r in sharding.assign(df).collect()}
+    got = index(lambda k: names[k] if k < 16 else None)
+    assert len(set(got.values())) == 17 and got == index(lambda k: f"{k:02d}" if k < 16 else None)
+
+
 def test_sharding_odd_and_empty(odd, none, spark, tmp_path):
     rows = sharding.assign(odd).collect()
     assert len(rows) == 9 and len({(r.shard, r.slot) for r in rows}) == 9 and all(r.slot == 0 for r in rows)
