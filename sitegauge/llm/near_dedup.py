@@ -1,7 +1,9 @@
 """Near-dedup: BagMinHash signatures of 5-word shingle multisets, banded; multiset overlap verifies, components join.
 
 Equal texts collapse to one node first, so copies are never paired. A node is
-the 128-bit hash of its text.
+the 128-bit hash of its text. Of the pairs that share a band, each bucket's
+most central member meets all others first; then every pair that no chain of
+links joins yet is verified, in cells of a few hundred texts.
 """
 
 from __future__ import annotations
@@ -14,18 +16,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, materialize
+from .common import SLICE, by_slice, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
 #: 20 bands of 4 components: a pair at 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 > 0.99997.
 BANDS, ROWS = 20, 4
-#: Band i is also paired with the next ones, which splits the buckets of large families.
-PAIRED = 3
+#: Texts on each side of a cell of comparisons, about.
+BLOCK = 256
 CACHED_WORDS = 200_000
+#: Shingles of texts that a task keeps at hand.
+CACHED_SHINGLES = 2_000_000
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _MASK = (1 << 64) - 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -137,75 +141,134 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from by_slice(work)(batches)
 
 
-def _similar(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        last: tuple[bytes, tuple] = (b"", ())  # pairs come sorted by their first node
-
-        def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal last
-            keep = []
-            for u, tu, tv in zip(b["u"].to_pylist(), b["text_u"].to_pylist(), b["text_v"].to_pylist(), strict=True):
-                if last[0] != u:
-                    last = (u, shingles(tu, hashes))
-                keep.append(overlap(last[1], shingles(tv, hashes)) >= least)
-            return b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+class _Cell:
+    """The texts of one cell as they stream in: few asked (side 0) against many others (side 1)."""
+
+    def __init__(self, key: int) -> None:
+        self.key, self.asked, self.others = key, [], []
+
+    def links(self, least: float) -> Iterator[tuple[bytes, bytes]]:
+        """For each asked text, one pair with each other component that holds a text similar to it.
+
+        The others' shingles are one sorted list with their owners, in which
+        each asked text looks up its own: its overlaps with all of them come
+        from the places where a shingle is shared.
+        """
+        if not self.asked or not self.others:
+            return
+        sizes = np.array([len(x[2][0]) for x in self.others])
+        owner = np.repeat(np.arange(len(self.others)), sizes)
+        shingle = np.concatenate([x[2][0] for x in self.others])
+        weight = np.concatenate([x[2][1] for x in self.others])
+        order = np.argsort(shingle, kind="stable")
+        owner, shingle, weight = owner[order], shingle[order], weight[order]
+        total = np.array([int(x[2][1].sum()) for x in self.others])
+        for node, label, (own, times) in self.asked:
+            low, high = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
+            n = high - low
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            both = np.bincount(owner[at], np.minimum(weight[at], np.repeat(times, n)), len(self.others))
+            told = {label}
+            for k in np.flatnonzero((both > 0) & (both >= least * (total + int(times.sum()) - both))).tolist():
+                other, theirs, _ = self.others[k]
+                if theirs not in told:
+                    told.add(theirs)
+                    yield node, other
+
+
+def _verified(least: float):
+    """A mapInArrow function over rows (cell, side, node, label, text) in order of cell: the similar pairs (u, v)."""
 
-        yield from by_slice(work)(batches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bags, held = WordHashes(), {}, 0
+        cell = _Cell(0)
+
+        def bag(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
+            if node not in bags:
+                if held >= CACHED_SHINGLES:
+                    bags.clear()
+                    held = 0
+                bags[node] = shingles(text, hashes)
+                held += len(bags[node][0])
+            return bags[node]
+
+        def told(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+        for whole in batches:
+            found: list[tuple[bytes, bytes]] = []
+            for start in range(0, whole.num_rows, SLICE):
+                b = whole.slice(start, SLICE)
+                for key, side, node, label, text in zip(*(b[c].to_pylist() for c in ("cell", "side", "node", "label", "text")), strict=True):
+                    if key != cell.key:
+                        found += cell.links(least)
+                        cell = _Cell(key)
+                    (cell.others if side else cell.asked).append((node, label, bag(node, text)))
+            yield told(found)
+        yield told(list(cell.links(least)))
 
     return run
 
 
-def _stars(members: DataFrame, key: list, centre) -> DataFrame:
-    """(u, v) from one member of each bucket to every other."""
-    keyed = members.select("node", "score", F.xxhash64(*key).alias("bucket"))
-    centres = keyed.groupBy("bucket").agg(centre.alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(centres, "bucket").where(F.col("node") != F.col("u")).select("u", F.col("node").alias("v"))
+def _links(cells: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The similar pairs (u, v) of each cell, from rows (cell, side, node, label); texts: node, text."""
+    rows = cells.join(texts, "node").select("cell", "side", "node", "label", "text")
+    return materialize(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verified(least), "u binary, v binary"))
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """node, bands, i, bucket and score of every member of a bucket of two or more, from rows (node, bands)."""
-    exploded = nodes.select("node", "bands", F.posexplode("bands").alias("i", "key"))
-    bucket = F.xxhash64("i", "key").alias("bucket")
-    rows = exploded.select("node", "bands", "i", bucket)
+    """node, bucket and score of every member of a bucket of two or more, from rows (node, bands); score: how full its buckets are."""
+    rows = nodes.select("node", F.posexplode("bands").alias("i", "key")).select("node", F.xxhash64("i", "key").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(rows.join(full, "bucket").select("node", "bands", "i", "bucket", "n"))
+    shared = materialize(rows.join(full, "bucket").select("node", "bucket", "n"))
     score = shared.groupBy("node").agg(F.sum("n").alias("score"))
     return materialize(shared.drop("n").join(score, "node"))
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes to verify first, from bucket_members(); linear in their number.
+def _dealt(node: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(node, F.lit(5)), blocks)
+
 
-    Each bucket's most central member, whose buckets are fullest, is paired
-    with all others; so a text and its edited copies meet even where two
-    copies are too far apart. Buckets of two bands pair their members with
-    the least and the largest node, which are other centres. A bucket's
-    pairs are as many as its members, never their square.
+def star_cells(members: DataFrame) -> DataFrame:
+    """Cells of each bucket's most central member, whose buckets are fullest, and the other members.
+
+    A text and its edited copies meet so even where two copies are too far
+    apart. A centre's partners, each once however many buckets they share,
+    are dealt to cells of about BLOCK; so the work is linear in the members.
     """
-    pairs = _stars(members, ["bucket"], F.max_by("node", F.struct("score", "node")))
-    for j in range(1, PAIRED + 1):
-        other = F.element_at("bands", (F.col("i") + j) % BANDS + 1)
-        for centre in (F.min("node"), F.max("node")):
-            pairs = pairs.unionByName(_stars(members, ["bucket", F.lit(j), other], centre))
-    return pairs.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct().select("u", "v")
+    centres = members.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
+    pairs = materialize(members.join(centres, "bucket").where("node <> centre").select("centre", "node").distinct())
+    blocks = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    others = pairs.join(blocks, "centre").select(F.xxhash64("centre", _dealt("node", F.col("blocks"))).alias("cell"), F.lit(1).alias("side"), "node")
+    asked = blocks.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b")).select(
+        F.xxhash64("centre", "b").alias("cell"), F.lit(0).alias("side"), F.col("centre").alias("node")
+    )
+    return others.unionByName(asked).withColumn("label", F.col("node"))
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, seen: DataFrame) -> DataFrame:
-    """Pairs (u, v) that share a bucket, aren't in `seen` and whose nodes lie in different components.
+def open_cells(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cells that hold, between them, every pair that shares a bucket and whose texts lie in different components.
 
-    A bucket's members outside its most frequent component meet all members
-    of other components, so a large family in one component costs nothing.
+    Of each bucket the members outside its most frequent component are asked,
+    against all members, both in blocks of about BLOCK; pairs within that
+    component need no look, so a large family in one component costs nothing.
     """
-    of = members.select("node", "bucket").join(labels, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
-    of = materialize(of)
+    label = F.coalesce("label", "node").alias("label")
+    of = materialize(members.select("node", "bucket").join(labels, "node", "left").select("node", "bucket", label))
     sizes = of.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    mine = of.join(mixed.select("bucket", "main"), "bucket")
-    rest = mine.where(F.col("label") != F.col("main")).select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-    meet = rest.join(mine.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket").where(F.col("la") != F.col("lb"))
-    pairs = meet.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct().select("u", "v")
-    return pairs.join(seen.select("u", "v"), ["u", "v"], "left_anti")
+    mixed = (
+        sizes.groupBy("bucket")
+        .agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("k"))
+        .where("k > 1")
+        .select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns"))
+    )
+    mine = materialize(of.join(mixed, "bucket"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = mine.where("label <> main").select("bucket", "node", "label", _dealt("node", F.col("rows")).alias("r"), each("columns").alias("c"))
+    others = mine.select("bucket", "node", "label", each("rows").alias("r"), _dealt("node", F.col("columns")).alias("c"))
+    both = asked.withColumn("side", F.lit(0)).unionByName(others.withColumn("side", F.lit(1)))
+    return both.select(F.xxhash64("bucket", "r", "c").alias("cell"), "side", "node", "label")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,20 +291,42 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("node", "label")
 
 
-def _links(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose texts overlap by `least` or more."""
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    first = nodes.join(ends, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-    # texts are fetched by id and told apart by hash
-    texts = materialize(
-        keyed.join(first.withColumnRenamed("node", "wanted"), "doc_id")
-        .where(F.col("node") == F.col("wanted"))
-        .select("node", "text")
-        .dropDuplicates(["node"])
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("doc_id", text.alias("text"), _node(docs))
+
+
+def _node(docs: DataFrame) -> Column:
+    return F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))).alias("node")
+
+
+def _id(doc_id: Column) -> Column:
+    """An id as a join key that a null has too."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
+def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node) of docs, and rows (node, first, n, label) of its different texts; label: the class."""
+    keyed = _keyed(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = materialize(keyed.mapInArrow(_signed, f"doc_id {kind}, node binary, bands array<long>"))
+    nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    members = bucket_members(nodes.select("node", "bands"))
+    # a text comes from a row of its least id, so that a text of very many rows isn't shuffled as often
+    sharing = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", _id(F.col("first")).alias("id"))
+    own = keyed.select("node", _id(F.col("doc_id")).alias("id"), "text").join(sharing, ["node", "id"], "left_semi")
+    texts = materialize(own.dropDuplicates(["node", "id"]).select("node", "text"))
+    labels = components(_links(star_cells(members), texts, similarity))
+    # what the stars leave: all pairs of a bucket that no chain of links joins yet
+    more = _links(open_cells(members, labels), texts, similarity)
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    merged = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(
+        F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v")
     )
-    left = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-    both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").select("u", "v", "text_u", "text_v")
-    return materialize(both.mapInArrow(_similar(least), "u binary, v binary"))
+    last = components(merged).select(F.col("node").alias("before"), F.col("label").alias("after"))
+    grouped = nodes.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"))
+    grouped = grouped.join(last, grouped["label"] == last["before"], "left").select("node", "first", "n", F.coalesce("after", "label").alias("label"))
+    return signed.select("doc_id", "node"), materialize(grouped)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -251,41 +336,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     of at least `similarity` join, class_size their number, n_texts the
     number of different texts. Null texts count as empty, empty texts equal
     each other and nothing else; texts of under five words are one shingle.
-    Rows of one id are rows like others; a class of null ids only has a null
-    class_id. An empty table gives an empty result; other columns are ignored.
+    Rows of one id are rows like others, and so are rows without an id; a
+    class of null ids only has a null class_id. An empty table gives an empty
+    result; other columns are ignored.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("node"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialize(keyed.mapInArrow(_signed, f"doc_id {kind}, node binary, bands array<long>"))
-    nodes = materialize(
-        signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    )
-    members = bucket_members(nodes.select("node", "bands"))
-    pairs = materialize(candidate_pairs(members))
-    links = _links(keyed, nodes, pairs, similarity)
-    labels = components(links)
-    # what the stars leave: pairs of one bucket that no chain of links joins yet, each verified
-    further = materialize(open_pairs(members, labels, pairs))
-    if further.limit(1).count():
-        more = _links(keyed, nodes, further, similarity)
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
-    grouped = nodes.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"))
-    joined = grouped.groupBy("label").agg(
-        F.min("first").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts")
-    )
+    rows, grouped = _grouped(docs, similarity)
+    joined = grouped.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
     by_node = grouped.join(joined, "label").select("node", "class_id", "class_size", "n_texts")
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", "n_texts")
+    return rows.join(by_node, "node").select("doc_id", "class_id", "class_size", "n_texts")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id is its class's least, with all their columns; rows with a null id stay.
+    """One row of docs for each class, with all its columns: one of the least doc_id, of these one of the least text hash.
 
-    Of rows with one id and class all stay, as they are one document.
+    Null ids come last. Rows that repeat both the id and the text of the one
+    that stays are copies too: any one of them stays.
     """
-    kept = classes(docs, similarity).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    _, grouped = _grouped(docs, similarity)
+    kept = grouped.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("lacks"), "first", "node")).alias("x")).select("x.first", "x.node")
+    stay = kept.select(F.col("node").alias("__node"), _id(F.col("first")).alias("__id"))
+    own = docs.withColumns({"__node": _node(docs), "__id": _id(F.col("doc_id"))})
+    return own.join(stay, ["__node", "__id"], "left_semi").dropDuplicates(["__node", "__id"]).select(*docs.columns)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -139,6 +139,25 @@ def test_near_copies_far_from_their_centre(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == brute_classes(texts)
 
 
+def test_texts_without_ids_and_repeated_ids(spark):
+    rng = random.Random(4)
+    words = prose(rng, 60).split()
+    near = " ".join([*words[:30], "other", *words[31:]])
+    rows = [(None, " ".join(words)), (3, near), (None, "alone " + prose(rng, 20)), (None, "alone without a copy"), (5, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (5, "another text of id five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.classes(df).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in got) == [(0, 0, 1), (0, 0, 1), (0, 3, 2), (3, 3, 2), (5, 5, 1), (5, 5, 3), (5, 5, 3), (5, 5, 3)]
+    kept = sorted((r.doc_id or 0, r.text) for r in near_dedup.keep_first(df).collect())
+    assert kept == sorted([(0, rows[2][1]), (0, rows[3][1]), (3, near), (5, "a b c d e f"), (5, "another text of id five")])
+
+
+def test_cells_of_few_texts_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    texts = dict(enumerate(family(11, 30)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == brute_classes(texts)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in [*range(1, 30), *range(40, 42)]], "u binary, v binary")
     got = {r.node[0]: r.label[0] for r in near_dedup.components(links).collect()}
@@ -151,6 +170,7 @@ def test_near_dedup_odd_and_empty(odd, none):
     by = {r.doc_id: r.class_id for r in rows}
     assert by[2] == by[1] == 1 and by[6] == 6 and by[3] == 3  # a null text counts as empty
     assert near_dedup.keep_first(odd).where("doc_id IS NULL").count() == 1
+    assert near_dedup.keep_first(odd).where("doc_id = 6").count() == 1  # repeated rows are copies
     assert near_dedup.classes(none).count() == 0 and near_dedup.keep_first(none).columns == none.columns
 
 
