@@ -220,7 +220,8 @@ def _links(cells: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def bucket_members(nodes: DataFrame) -> DataFrame:
     """node, bucket and score of every member of a bucket of two or more, from rows (node, bands); score: how full its buckets are."""
     rows = nodes.select("node", F.posexplode("bands").alias("i", "key")).select("node", F.xxhash64("i", "key").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # sums are written out before they are joined: only then can a join split the rows of a hot bucket
+    full = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     shared = materialize(rows.join(full, "bucket").select("node", "bucket", "n"))
     score = shared.groupBy("node").agg(F.sum("n").alias("score"))
     return materialize(shared.drop("n").join(score, "node"))
@@ -237,9 +238,9 @@ def star_cells(members: DataFrame) -> DataFrame:
     apart. A centre's partners, each once however many buckets they share,
     are dealt to cells of about BLOCK; so the work is linear in the members.
     """
-    centres = members.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
+    centres = materialize(members.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("centre")))
     pairs = materialize(members.join(centres, "bucket").where("node <> centre").select("centre", "node").distinct())
-    blocks = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = materialize(pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
     others = pairs.join(blocks, "centre").select(F.xxhash64("centre", _dealt("node", F.col("blocks"))).alias("cell"), F.lit(1).alias("side"), "node")
     asked = blocks.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b")).select(
         F.xxhash64("centre", "b").alias("cell"), F.lit(0).alias("side"), F.col("centre").alias("node")
@@ -263,7 +264,7 @@ def open_cells(members: DataFrame, labels: DataFrame) -> DataFrame:
         .where("k > 1")
         .select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns"))
     )
-    mine = materialize(of.join(mixed, "bucket"))
+    mine = materialize(of.join(materialize(mixed), "bucket"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = mine.where("label <> main").select("bucket", "node", "label", _dealt("node", F.col("rows")).alias("r"), each("columns").alias("c"))
     others = mine.select("bucket", "node", "label", each("rows").alias("r"), _dealt("node", F.col("columns")).alias("c"))
