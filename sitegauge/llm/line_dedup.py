@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A line on this many distinct sites is boilerplate; shorter lines aren't looked at.
-MIN_SITES = 10
-MIN_CHARS = 20
+#: A line on this many distinct sites is boilerplate, few enough for passages to be seen where one site holds half of all documents.
+MIN_SITES = 5
 LG_K = 12
 
 
@@ -18,19 +17,19 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def _counts(line: Column, min_chars: int | None) -> Column:
-    """Whether a line is looked at: of min_chars or more, or any that isn't blank where min_chars is None."""
-    return ~line.rlike(r"^\s*$") if min_chars is None else F.length(line) >= min_chars
+def _counts(line: Column) -> Column:
+    """Whether a line is looked at: any that isn't blank."""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _lines(docs: DataFrame, min_chars: int | None) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, site and key of each distinct line of a row that is looked at."""
-    long = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1), lambda x: _counts(x, min_chars))
-    keys = F.transform(F.array_distinct(long), _key)
+    own = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1), _counts)
+    keys = F.transform(F.array_distinct(own), _key)
     return docs.select("doc_id", F.col("source").alias("site"), F.explode(keys).alias("line"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int | None = MIN_CHARS, lg_k: int = LG_K) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """line (key) and keeper (its least doc_id) of every line on min_sites distinct sites or more.
 
     Each line's sites go to a sketch that merges before and after the shuffle,
@@ -39,7 +38,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int | No
     lines within it get an exact distinct count, itself by partial
     aggregation. Null sites count for nothing.
     """
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs)
     spread = materialize(
         lines.groupBy("line")
         .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("doc_id").alias("keeper"))
@@ -57,28 +56,29 @@ def _band(min_sites: int, lg_k: int) -> int:
     return int(4 * 1.04 / 2 ** (lg_k / 2) * min_sites) + 1
 
 
-def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int | None = MIN_CHARS, lg_k: int = LG_K) -> DataFrame:
+def clean(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """docs with boilerplate lines taken out of text, and n_lines and n_dropped.
 
     A boilerplate line stays in the document of the least id that has it, so
-    that no content goes altogether. Rows of one id count as one document;
-    rows with a null id keep their lines and are nobody's keeper. A null text
-    stays null and has 0 lines. A text all of whose lines go becomes ''.
-    Columns n_lines and n_dropped of docs are replaced, others stay; an empty
-    table gives an empty result. With min_chars None every line that isn't
-    blank is looked at, however short.
+    that no content goes altogether. Every line that isn't blank is looked
+    at, however short. Rows of one id count as one document; rows with a null
+    id keep their lines and are nobody's keeper, and don't go through the
+    shuffle. A null text stays null and has 0 lines. A text all of whose
+    lines go becomes ''. Columns n_lines and n_dropped of docs are replaced,
+    others stay; an empty table gives an empty result.
     """
-    bad = materialize(boilerplate(docs, min_sites, min_chars, lg_k))
-    hits = _lines(docs.where(F.col("doc_id").isNotNull()), min_chars).select("doc_id", "line").join(bad, "line")
+    bad = materialize(boilerplate(docs, min_sites, lg_k))
+    hits = _lines(docs.where(F.col("doc_id").isNotNull())).select("doc_id", "line").join(bad, "line")
     drops = (
         hits.where(F.col("keeper").isNull() | (F.col("doc_id") != F.col("keeper")))
         .groupBy("doc_id")
         .agg(F.collect_set("line").alias("__drop"))
     )
     kept = docs.drop("n_lines", "n_dropped", "__drop")
-    df = kept.join(drops, "doc_id", "left")
+    df = kept.where(F.col("doc_id").isNotNull()).join(drops, "doc_id", "left")
+    df = df.unionByName(kept.where(F.col("doc_id").isNull()), allowMissingColumns=True)
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    stay = F.filter(lines, lambda x: ~_counts(x, min_chars) | ~F.array_contains("__drop", _key(x)))
+    stay = F.filter(lines, lambda x: ~_counts(x) | ~F.array_contains("__drop", _key(x)))
     df = df.withColumn("__stay", F.when(F.col("__drop").isNotNull(), stay))
     n = F.coalesce(F.size(lines), F.lit(0))
     return df.select(
@@ -88,14 +88,14 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int | None = M
     )
 
 
-def oracle_sql(min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> str:
+def oracle_sql(min_sites: int = MIN_SITES) -> str:
     """The same result for DuckDB, with exact counts of sites."""
     return f"""
 WITH own AS (SELECT doc_id, source, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents),
-long AS (SELECT * FROM own WHERE length(line) >= {min_chars}),
-bad AS (SELECT line, min(doc_id) AS keeper FROM long GROUP BY line HAVING count(DISTINCT source) >= {min_sites}),
+seen AS (SELECT * FROM own WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+bad AS (SELECT line, min(doc_id) AS keeper FROM seen GROUP BY line HAVING count(DISTINCT source) >= {min_sites}),
 drops AS (
-  SELECT doc_id, list(DISTINCT long.line) AS lines FROM long JOIN bad USING (line)
+  SELECT doc_id, list(DISTINCT seen.line) AS lines FROM seen JOIN bad USING (line)
   WHERE doc_id IS NOT NULL AND (keeper IS NULL OR doc_id <> keeper) GROUP BY doc_id),
 cut AS (
   SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS lines,
