@@ -8,7 +8,6 @@ arithmetic on the counts.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -31,7 +30,8 @@ MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.60
 #: Beyond both of these a text is odd in both histograms.
 JOINT_DISTANCES = (0.16, 0.24)
-MAX_REFERENCES = 64
+#: References, one small row a language, are broadcast if there are no more.
+MAX_BROADCAST = 10_000
 
 
 def vocabulary(common_words: dict[str, list[str]] | None = None) -> list[str]:
@@ -42,34 +42,10 @@ def _removed(text: Column, *pieces: str) -> Column:
     return reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), pieces, text)
 
 
-#: Positions below 2**POSITION_BITS share a long with the window's hash.
-POSITION_BITS = 17
-
-
 def _repeated(window_hash: Callable[[Column], Column], n: Column) -> Column:
-    """Pairs (a, b) of positions of equal 3-word windows, neighbours in order of hash and position.
-
-    Up to 2**17 words a window is one long: the upper bits of its hash, then
-    its position, which sorts as primitive longs; pairs that agree in those
-    bits are verified by the whole hashes. Longer texts sort structs.
-    """
+    """Hash and position of each 3-word window, in order; equal windows are neighbours."""
     at = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
-    low = F.lit((1 << POSITION_BITS) - 1).cast("long")
-    packed = F.sort_array(F.transform(at, lambda i: F.shiftleft(window_hash(i), POSITION_BITS).bitwiseOR(i.cast("long"))))
-    whole = F.sort_array(F.transform(at, lambda i: F.struct(window_hash(i).alias("h"), i.cast("long").alias("i"))))
-
-    def neighbours(col: str, pair: Callable[[Column, Column], Column]) -> Column:
-        m = F.size(col)
-        return F.filter(F.zip_with(F.slice(col, 1, m - 1), F.slice(col, 2, m - 1), pair), lambda x: x.isNotNull())
-
-    def of_packed(a: Column, b: Column) -> Column:
-        same = F.shiftright(a, POSITION_BITS) == F.shiftright(b, POSITION_BITS)
-        return F.when(same, F.struct(a.bitwiseAND(low).alias("a"), b.bitwiseAND(low).alias("b")))
-
-    def of_whole(a: Column, b: Column) -> Column:
-        return F.when(a["h"] == b["h"], F.struct(a["i"].alias("a"), b["i"].alias("b")))
-
-    return packed, whole, lambda: neighbours("packed", of_packed), lambda: neighbours("whole", of_whole)
+    return F.when(n >= 3, F.sort_array(F.transform(at, lambda i: F.struct(window_hash(i).alias("h"), i.alias("i")))))
 
 
 def measure(docs: DataFrame, common_words: dict[str, list[str]] | None = None, carry: bool = False) -> DataFrame:
@@ -96,7 +72,6 @@ def measure(docs: DataFrame, common_words: dict[str, list[str]] | None = None, c
     cased = sorted({x for w in vocab for x in (w, w.capitalize())})
     n = F.size("w")
     wh = F.col("wh")
-    packed, whole, of_packed, of_whole = _repeated(lambda i: F.xxhash64(wh[i], wh[i + 1], wh[i + 2]), n)
     length, rest, dense = F.length("text"), F.length("rest"), F.length("dense")
     n_space = F.col("blanks") + rest - dense
     counted = {
@@ -109,26 +84,18 @@ def measure(docs: DataFrame, common_words: dict[str, list[str]] | None = None, c
         "n_upper": dense - F.length(F.regexp_replace("dense", r"\p{Lu}+", "")),
         "n_digit": dense - F.length(_removed(F.col("dense"), *"0123456789")),
     }
-    short = n < (1 << POSITION_BITS)
     df = df.select(
-        "doc_id", "lang", "wh", *row_too,
-        F.when((n >= 3) & short, packed).alias("packed"), F.when((n >= 3) & ~short, whole).alias("whole"),
+        "doc_id", "lang", *row_too, _repeated(lambda i: F.xxhash64(wh[i], wh[i + 1], wh[i + 2]), n).alias("windows"),
         F.lower(F.concat(F.lit(" "), F.array_join(F.filter("w", lambda x: x.isin(cased)), "  "), F.lit(" "))).alias("spoken"),
         *(c.cast("long").alias(k) for k, c in counted.items()),
     )
-    triple = lambda i: F.xxhash64(wh[i.cast("int")], wh[i.cast("int") + 1], wh[i.cast("int") + 2])
-    df = df.withColumn(
-        "pairs",
-        F.when(F.col("packed").isNotNull(), F.filter(of_packed(), lambda x: triple(x["a"]) == triple(x["b"]))).when(
-            F.col("whole").isNotNull(), of_whole()
-        ),
-    )
-    ends = F.array_union(F.transform("pairs", lambda x: x["a"]), F.transform("pairs", lambda x: x["b"]))
-    df = df.withColumn("at", F.sort_array(ends))
+    m = F.size("windows")
+    pairs = F.zip_with(F.slice("windows", 1, m - 1), F.slice("windows", 2, m - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    df = df.withColumn("at", F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))))
     gaps = F.zip_with(
-        F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at") - 1), lambda a, b: F.least(F.lit(3).cast("long"), b - a)
+        F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at") - 1), lambda a, b: F.least(F.lit(3), b - a)
     )
-    covered = F.when(F.size("at") > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda s, x: s + x))
+    covered = F.when(F.size("at") > 0, F.aggregate(gaps, F.lit(3), lambda s, x: s + x))
     known = F.col("n_lower") + F.col("n_upper") + F.col("n_digit") + F.col("n_space") + F.col("n_symbols")
     common = [
         F.floor((F.length("spoken") - F.length(F.replace("spoken", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2))
@@ -142,29 +109,40 @@ def measure(docs: DataFrame, common_words: dict[str, list[str]] | None = None, c
     )
 
 
-def references(measured: DataFrame, vocab: list[str], max_references: int = MAX_REFERENCES) -> dict[str, dict]:
-    """By language: class counts and counts of each common word, summed over all given documents of the language.
+def _shares(counts: Column) -> Column:
+    """Counts as shares of their sum; of nothing all shares are 0."""
+    total = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(1).cast("long"))
+    return F.transform(counts, lambda x: x / total.cast("double"))
+
+
+def _listed(lang: Column, n_words: Column, vocab: list[str], common_words: dict[str, list[str]]) -> Column:
+    """Counts of a language's common words and of all other words; null for a language without a list."""
+    out = F.lit(None).cast("array<long>")
+    for own, listed in common_words.items():
+        counts = F.array(*(F.col("common")[vocab.index(w)] for w in dict.fromkeys(listed)))
+        rest = n_words - F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+        out = F.when(lang == own, F.concat(counts, F.array(rest))).otherwise(out)
+    return out
+
 
-    The `max_references` languages with the most words are kept; that bounds
-    what the driver gets. Rows without a language add to no reference.
+def references(measured: DataFrame, vocab: list[str], common_words: dict[str, list[str]] | None = None) -> DataFrame:
+    """By language: shares of each class (class_q) and of each common word and all others (word_q), over all given documents of it.
+
+    Written out, one small row for each language that has words. Rows without
+    a language add to no reference; a language without a list has no word_q.
     """
-    rows = (
+    summed = (
         measured.where(F.col("lang").isNotNull())
-        .groupBy("lang")
+        .groupBy(F.col("lang").alias("ref"))
         .agg(
             F.sum("n_words").alias("words"),
-            *(F.sum(F.col("classes")[i]).alias(c) for i, c in enumerate(CLASSES)),
-            *(F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(vocab))),
+            F.array(*(F.sum(F.col("classes")[i]) for i in range(len(CLASSES)))).alias("classes"),
+            F.array(*(F.sum(F.col("common")[i]) for i in range(len(vocab)))).alias("common"),
         )
         .where("words > 0")
-        .orderBy(F.desc("words"), "lang")
-        .limit(max_references)
-        .collect()
     )
-    return {
-        r["lang"]: {"words": r["words"], "classes": [r[c] for c in CLASSES], "common": {w: r[f"w{i}"] for i, w in enumerate(vocab)}}
-        for r in rows
-    }
+    word = _listed(F.col("ref"), F.col("words"), vocab, common_words or COMMON_WORDS)
+    return materialize(summed.select("ref", _shares(F.col("classes")).alias("class_q"), _shares(word).alias("word_q")))
 
 
 def _entropy(parts: Column) -> Column:
@@ -172,42 +150,19 @@ def _entropy(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, p: s + F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
 
-def distance(shares: Column, ref: list[int]) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of an array of shares from a reference's counts.
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of shares.
 
     Written as entropies, H((p+q)/2) - (H(p) + H(q))/2.
     """
-    q = [x / sum(ref) for x in ref]
-    mixed = _entropy(F.zip_with(shares, F.array(*map(F.lit, q)), lambda a, b: (a + b) / F.lit(2.0)))
-    fixed = F.lit(sum(x * math.log2(x) for x in q if x > 0))
-    return F.sqrt(F.greatest((_entropy(shares) + fixed) / F.lit(2.0) - mixed, F.lit(0.0)))
-
-
-def _nearest(df: DataFrame, to: str, each: list[Column]) -> DataFrame:
-    """Adds the least of some distances as column `to`, null if there are none."""
-    return df.withColumn(to, F.least(*each) if len(each) > 1 else each[0] if each else F.lit(None).cast("double"))
-
-
-def _class_distance(df: DataFrame, refs: dict[str, dict]) -> DataFrame:
-    total = F.greatest(F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x), F.lit(1).cast("long"))
-    df = df.withColumn("__n", total.cast("double")).withColumn("__k", F.transform("classes", lambda x: x / F.col("__n")))
-    return _nearest(df, "class_distance", [distance(F.col("__k"), r["classes"]) for r in refs.values()]).drop("__k", "__n")
+    mixed = _entropy(F.zip_with(p, q, lambda a, b: (a + b) / F.lit(2.0)))
+    return F.sqrt(F.greatest((_entropy(p) + _entropy(q)) / F.lit(2.0) - mixed, F.lit(0.0)))
 
 
-def _word_distance(df: DataFrame, refs: dict[str, dict], vocab: list[str], common_words: dict[str, list[str]]) -> DataFrame:
-    """A language without a list of common words has no say."""
-    df = df.withColumn("__n", F.greatest("n_words", F.lit(1)).cast("double"))
-    each = []
-    for lang, r in refs.items():
-        if listed := list(dict.fromkeys(common_words.get(lang, ()))):
-            ref = [r["common"][w] for w in listed]
-            shares, name = F.array(*(F.col("common")[vocab.index(w)] / F.col("__n") for w in listed)), f"__w{len(each)}"
-            df = df.withColumn(name, shares)
-            rest = F.lit(1.0) - F.aggregate(name, F.lit(0.0), lambda s, x: s + x)
-            df = df.withColumn(name, F.concat(name, F.array(rest)))
-            each.append(distance(F.col(name), [*ref, r["words"] - sum(ref)]))
-    df = _nearest(df, "word_distance", each)
-    return df.drop(*(c for c in df.columns if c.startswith("__")))
+def _with_own(df: DataFrame, refs: DataFrame, key: str) -> DataFrame:
+    """df with the reference whose language is in `key`, null where there is none; broadcast only after a count."""
+    small = refs.count() <= MAX_BROADCAST
+    return df.join(F.broadcast(refs) if small else refs, df[key] == refs["ref"], "left")
 
 
 @dataclass(frozen=True)
@@ -223,26 +178,47 @@ class Limits:
         return (F.col("n_words") < self.min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit(measured: DataFrame, limits: Limits) -> dict[str, dict]:
+def fit(measured: DataFrame, limits: Limits) -> DataFrame:
     """References from all rows that pass the base rules, then once more from those nearer to the first than their language's mean.
 
     So junk doesn't shape them while most texts of a language aren't junk,
-    however much there is. Both steps are sums over all rows.
+    however much there is. Both steps are sums over all rows, for every
+    language.
+    """
+    vocab = vocabulary()
+    passing = measured.where(~limits.base_failed() & F.col("lang").isNotNull()).select("lang", "n_words", "classes", "common")
+    first = _with_own(passing, references(passing, vocab), "lang")
+    first = first.withColumn("d", distance(_shares(F.col("classes")), F.col("class_q"))).select("lang", "n_words", "classes", "common", "d")
+    means = materialize(first.groupBy(F.col("lang").alias("ref")).agg(F.avg("d").alias("mean")))
+    return references(_with_own(first, means, "lang").where("d <= mean"), vocab)
+
+
+def verdict(measured: DataFrame, refs: DataFrame, limits: Limits) -> DataFrame:
+    """Adds class_distance, word_distance, base_failed and kept to counts.
+
+    Both distances are from one reference: that of the row's language or,
+    where the row has no language or its language no reference, the nearest
+    in classes of those of the languages with a list of common words.
     """
     vocab = vocabulary()
-    passing = measured.where(~limits.base_failed())
-    refs = references(passing, vocab)
-    if not refs:
-        return refs
-    first = _class_distance(passing.where(F.col("lang").isin(list(refs))), refs)
-    means = first.groupBy("lang").agg(F.avg("class_distance")).collect()  # a row for each reference
-    of_lang = F.create_map(*(F.lit(x) for r in means for x in r))
-    return references(first.where(F.col("class_distance") <= F.element_at(of_lang, F.col("lang"))), vocab)
-
-
-def verdict(measured: DataFrame, refs: dict[str, dict], limits: Limits) -> DataFrame:
-    """Adds class_distance, word_distance, base_failed and kept to counts."""
-    df = _word_distance(_class_distance(measured, refs), refs, vocabulary(), COMMON_WORDS)
+    # as many rows as there are lists at most
+    known = sorted(refs.where(F.col("ref").isin(list(COMMON_WORDS))).collect(), key=lambda r: r["ref"])
+    df = measured.withColumn("p__", _shares(F.col("classes")))
+    df = _with_own(df, refs, "lang")
+    if known:
+        literal = lambda xs: F.array(*map(F.lit, xs))
+        each = [F.struct(distance(F.col("p__"), literal(r["class_q"])).alias("d"), F.lit(r["ref"]).alias("ref")) for r in known]
+        word_q = F.create_map(*(x for r in known for x in (F.lit(r["ref"]), literal(r["word_q"]))))
+        class_q = F.create_map(*(x for r in known for x in (F.lit(r["ref"]), literal(r["class_q"]))))
+        df = df.withColumn("near__", F.when(F.col("ref").isNull(), F.array_min(F.array(*each))["ref"]))
+        df = df.withColumns({
+            "class_q": F.coalesce("class_q", F.try_element_at(class_q, F.col("near__"))),
+            "word_q": F.coalesce("word_q", F.try_element_at(word_q, F.col("near__"))),
+            "ref": F.coalesce("ref", "near__"),
+        }).drop("near__")
+    words_p = _shares(_listed(F.col("ref"), F.col("n_words"), vocab, COMMON_WORDS))
+    df = df.withColumns({"class_distance": distance(F.col("p__"), F.col("class_q")), "word_distance": distance(words_p, F.col("word_q"))})
+    df = df.drop("p__", "ref", "class_q", "word_q")
     by_class, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("class_distance", "word_distance"))
     both = (by_class > limits.joint[0]) & (by_word > limits.joint[1])
     near = (by_class <= limits.class_distance) & (by_word <= limits.word_distance) & ~both
@@ -252,11 +228,12 @@ def verdict(measured: DataFrame, refs: dict[str, dict], limits: Limits) -> DataF
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """Counts, distances and verdict of every row of docs.
 
-    A text is compared with the nearest reference, so a wrong or null
-    language doesn't reject it. Texts under min_words words fail the base
-    rules and their distances don't count. With no language column filled
-    there are no references and the base rules alone decide; an empty table
-    gives an empty result. Columns of docs other than doc_id, text and lang
+    A text is compared with the reference of its language, both in classes
+    and in words; one without a language, or whose language no good text has,
+    with the nearest of the languages that have a list of common words. Texts
+    under min_words words fail the base rules and their distances don't
+    count. With no language column filled there are no references and the
+    base rules alone decide; an empty table gives an empty result. Columns of docs other than doc_id, text and lang
     are ignored.
     """
     measured = materialize(measure(docs))
@@ -279,6 +256,7 @@ def oracle_sql(limits: Limits = Limits()) -> str:  # noqa: B008
     quoted = ", ".join(f"'{w}'" for w in vocab)
     lists = ", ".join(f"('{lang}', '{w}')" for lang, ws in COMMON_WORDS.items() for w in dict.fromkeys(ws))
     cased = ", ".join(f"'{x}'" for w in vocab for x in sorted({w, w.capitalize()}))
+    langs = ", ".join(f"'{lang}'" for lang in COMMON_WORDS)
     plogp = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END"
     size = "length(regexp_replace(t, '{0}', '', 'g'))"
 
@@ -311,12 +289,15 @@ cls AS (
 cls_p AS (SELECT doc_id, lang, i, n / total AS p FROM cls),
 first_sum AS (SELECT lang, i, sum(n) AS n FROM cls WHERE NOT base_failed AND lang IS NOT NULL GROUP BY ALL),
 first_q AS (SELECT lang, i, n / sum(n) OVER (PARTITION BY lang) AS q FROM first_sum),
-{distances('first_d', 'cls_p', 'first_q', 'p.i = q.i')},
+{distances('first_d', 'cls_p', 'first_q', 'p.i = q.i AND p.lang = q.lang')},
 near AS (
   SELECT doc_id FROM (SELECT j.doc_id, d, avg(d) OVER (PARTITION BY lang) AS mean FROM judged j JOIN first_d USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL) WHERE d <= mean),
 cls_sum AS (SELECT lang, i, sum(n) AS n FROM cls SEMI JOIN near USING (doc_id) GROUP BY ALL),
 cls_q AS (SELECT lang, i, n / sum(n) OVER (PARTITION BY lang) AS q FROM cls_sum),
-{distances('cls_d', 'cls_p', 'cls_q', 'p.i = q.i')},
+cls_any AS (
+  SELECT p.doc_id, q.lang, sqrt(greatest((sum({plogp.format('p.p')}) + sum({plogp.format('q.q')})) / 2 - sum({plogp.format('((p.p + q.q) / 2)')}), 0)) AS d
+  FROM cls_p p JOIN cls_q q ON p.i = q.i AND (q.lang = p.lang OR (coalesce(p.lang NOT IN (SELECT lang FROM cls_q), true) AND q.lang IN ({langs}))) GROUP BY ALL),
+cls_d AS (SELECT doc_id, arg_min(lang, ROW(d, lang)) AS lang, min(d) AS d FROM cls_any GROUP BY doc_id),
 listed AS (SELECT * FROM (VALUES {lists}) v(lang, word)),
 spoken AS (
   SELECT doc_id, lower(x) AS word, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(w) AS x FROM judged) WHERE x IN ({cased}) AND lower(x) IN ({quoted}) GROUP BY ALL),
@@ -328,7 +309,8 @@ word_all AS (
 word_p AS (SELECT doc_id, lang, word, n / greatest(n_words, 1) AS p FROM word_all),
 word_sum AS (SELECT lang, word, sum(n) AS n FROM word_all SEMI JOIN near USING (doc_id) WHERE own = lang GROUP BY ALL),
 word_q AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS q FROM word_sum),
-{distances('word_d', 'word_p', 'word_q', 'p.lang = q.lang AND p.word = q.word')}
+near_p AS (SELECT p.* FROM word_p p JOIN cls_d c ON c.doc_id = p.doc_id AND c.lang = p.lang),
+{distances('word_d', 'near_p', 'word_q', 'p.lang = q.lang AND p.word = q.word')}
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(c.d, 0) <= {limits.class_distance} AND coalesce(x.d, 0) <= {limits.word_distance}
     AND NOT (coalesce(c.d, 0) > {limits.joint[0]} AND coalesce(x.d, 0) > {limits.joint[1]}) AS kept
