@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,10 @@ TEMPLATES = {
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "MIT-whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-whole": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-whole": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib-whole": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
 }
 
 
@@ -68,6 +73,53 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return total
 
 
+def occurrences(s: np.ndarray, template: np.ndarray, containment: float) -> list[tuple[int, int, float]]:
+    """Where a template stands in a text, as (first, last, share) of shingles, by exact containment.
+
+    Each shingle of the text that the template has tells where the template
+    would start. Shingles whose starts lie no further apart than the part of
+    the template that may be missing belong together; an occurrence is such a
+    set with `containment` or more of the template's distinct shingles, of
+    each the one that stands first. Where sets share text the fuller one
+    counts, then the earlier one.
+    """
+    own, number = np.unique(template, return_inverse=True)
+    drift = int((1 - containment) * len(own))
+    order = np.argsort(number, kind="stable")  # offsets in the template by shingle
+    first = np.searchsorted(number[order], np.arange(len(own) + 1))
+    at = np.searchsorted(own, s)
+    at[at == len(own)] = 0
+    here = np.flatnonzero(own[at] == s)
+    which = at[here]
+    times = first[which + 1] - first[which]
+    place, which = np.repeat(here, times), np.repeat(which, times)
+    offset = order[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + first[which]]
+    start = place - offset
+    by = np.lexsort((place, start))
+    place, which, start = place[by], which[by], start[by]
+    least = containment * len(own) - 1e-9
+    found: list[tuple[int, int, int]] = []  # minus the count, first, last
+    cuts = np.flatnonzero(np.diff(start) > drift) + 1
+    for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(start)).tolist(), strict=True):
+        if hi - lo < least:
+            continue
+        ends = np.searchsorted(start[lo:hi], start[lo:hi] + drift, "right") + lo
+        for i in (np.flatnonzero(np.append(True, np.diff(start[lo:hi]) > 0)) + lo).tolist():
+            if ends[i - lo] - i < least:
+                continue
+            spot, shingle = place[i : ends[i - lo]], which[i : ends[i - lo]]
+            held, earliest = np.unique(shingle[np.argsort(spot, kind="stable")], return_index=True)
+            if len(held) >= least:
+                spots = np.sort(spot)[earliest]
+                found.append((-len(held), int(spots.min()), int(spots.max())))
+    taken: list[tuple[int, int, float]] = []
+    for n, a, b in sorted(found):
+        k = bisect_left(taken, (a, b, 0.0))
+        if (k == 0 or taken[k - 1][1] < a) and (k == len(taken) or b < taken[k][0]):
+            taken.insert(k, (a, b, -n / len(own)))
+    return taken
+
+
 def bands_for(similarity: float, confidence: float = CONFIDENCE) -> int:
     """Bands of one row that collide with that probability at a similarity."""
     return math.ceil(math.log(1 - confidence) / math.log(1 - similarity))
@@ -77,6 +129,7 @@ def bands_for(similarity: float, confidence: float = CONFIDENCE) -> int:
 class Template:
     name: str
     k: int  # words in a shingle; all of them in a template of fewer than WORDS
+    whole: np.ndarray  # its shingles in order
     own: np.ndarray  # distinct shingles, sorted
     block: int  # a power of two, at least the template's length in shingles
     minima: np.ndarray
@@ -94,29 +147,40 @@ class Scanner:
                 continue
             k = min(WORDS, len(h))
             all_shingles = shingles(h, k)
-            found.append((name, k, np.unique(all_shingles), 1 << max(0, (len(all_shingles) - 1).bit_length())))
+            found.append((name, k, all_shingles, np.unique(all_shingles), 1 << max(0, (len(all_shingles) - 1).bit_length())))
         # the least similarity of a window to a template that it holds to the containment asked for
-        self.bands = {block: bands_for(min(containment * len(own) / (2 * block + (1 - containment) * len(own)) for _, _, own, b in found if b == block)) for block in {x[3] for x in found}}
+        self.bands = {block: bands_for(min(containment * len(own) / (2 * block + (1 - containment) * len(own)) for _, _, _, own, b in found if b == block)) for block in {x[4] for x in found}}
         size = max(self.bands.values(), default=0)
         self.factors = np.array([xxhash.xxh64_intdigest(f"row {i}") | 1 for i in range(size)], np.uint64)
-        self.templates = [Template(n, k, own, b, (self.factors[: self.bands[b], None] * own[None, :]).min(1)) for n, k, own, b in found]
-
-    def windows(self, s: np.ndarray, block: int) -> np.ndarray:
-        """MinHash rows of every window, one column a window."""
-        starts = np.arange(0, len(s), block)
-        parts = []
-        for lo in range(0, len(starts), max(1, 8192 // block)):  # some thousand shingles at a time bound the table
-            piece = starts[lo : lo + max(1, 8192 // block)]
-            cut = s[piece[0] : piece[-1] + block]
-            parts.append(np.minimum.reduceat(self.factors[: self.bands[block], None] * cut[None, :], piece - piece[0], axis=1))
-        least = np.concatenate(parts, axis=1)
-        return np.minimum(least[:, :-1], least[:, 1:]) if least.shape[1] > 1 else least
+        self.templates = [Template(n, k, whole, own, b, (self.factors[: self.bands[b], None] * own[None, :]).min(1)) for n, k, whole, own, b in found]
+
+    def windows(self, s: np.ndarray, k: int) -> dict[int, np.ndarray]:
+        """MinHash rows of every window of the classes whose shingles have k words, by block, one column a window.
+
+        A block's minima are those of the two half as long, so the shingles
+        are hashed once for all classes.
+        """
+        blocks = sorted({t.block for t in self.templates if t.k == k})
+        rows = self.factors[: max(self.bands[b] for b in blocks), None]
+        step = max(8192, blocks[0])  # some thousand shingles at a time bound the table
+        cuts = [s[lo : lo + step] for lo in range(0, len(s), step)]
+        least = np.concatenate([np.minimum.reduceat(rows * c[None, :], np.arange(0, len(c), blocks[0]), axis=1) for c in cuts], axis=1)
+        out, block = {}, blocks[0]
+        while True:
+            if block in blocks:
+                own = least[: self.bands[block]]
+                out[block] = np.minimum(own[:, :-1], own[:, 1:]) if own.shape[1] > 1 else own
+            if block == blocks[-1]:
+                return out
+            if least.shape[1] % 2:
+                least = np.concatenate([least, least[:, -1:]], axis=1)
+            least, block = np.minimum(least[:, ::2], least[:, 1::2]), block * 2
 
     def find(self, text: str) -> list[dict]:
         """Every occurrence of a template: name, start and end in code points, share of its shingles that stand there."""
         h = tokens(text, self.hashes)
         made: dict[int, np.ndarray] = {}
-        tables: dict[tuple[int, int], np.ndarray] = {}
+        tables: dict[int, dict[int, np.ndarray]] = {}
         out: list[tuple[str, int, int, float]] = []
         for t in self.templates:
             if t.k not in made:
@@ -124,22 +188,16 @@ class Scanner:
             s = made[t.k]
             if not len(s):
                 continue
-            if (t.k, t.block) not in tables:
-                tables[t.k, t.block] = self.windows(s, t.block)
-            hit = np.flatnonzero((tables[t.k, t.block] == t.minima[:, None]).any(0))
-            spans: list[list] = []
-            for w in hit.tolist():
-                lo = w * t.block
-                near = s[lo : lo + 2 * t.block]
-                share = float(np.isin(t.own, near).sum() / len(t.own))
-                if share >= self.containment:
-                    at = np.flatnonzero(np.isin(near, t.own))
-                    start, end = lo + int(at[0]), lo + int(at[-1]) + t.k
-                    if spans and start < spans[-1][1]:
-                        spans[-1][1], spans[-1][2] = max(end, spans[-1][1]), max(share, spans[-1][2])
-                    else:
-                        spans.append([start, end, share])
-            out += [(t.name, *x) for x in spans]
+            if t.k not in tables:
+                tables[t.k] = self.windows(s, t.k)
+            hit = np.flatnonzero((tables[t.k][t.block] == t.minima[:, None]).any(0))
+            if not len(hit):
+                continue
+            # windows that touch are one stretch of text
+            cuts = np.flatnonzero(np.diff(hit) > 2) + 1
+            for near in np.split(hit, cuts):
+                lo, hi = int(near[0]) * t.block, (int(near[-1]) + 2) * t.block
+                out += [(t.name, lo + a, lo + b + t.k, share) for a, b, share in occurrences(s[lo:hi], t.whole, self.containment)]
         if not out:
             return []
         at = [m.span() for m in _WORD.finditer(text)] if len(text.lower()) == len(text) else [m.span() for m in _WORD.finditer(text.lower())]
@@ -153,8 +211,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     """doc_id, template, start, end, containment: one row for each occurrence in docs.
 
     Words are runs of letters and digits in lower case. A template of fewer
-    than five words is one shingle of all its words. Overlapping windows that
-    hold a template give one occurrence. A null or empty text has none;
+    than five words is one shingle of all its words. A template that stands
+    twice, side by side too, gives two rows, and words of it that stand
+    elsewhere move no start. A null or empty text has none;
     repeated rows each give theirs; an empty table gives an empty result;
     other columns are ignored. The templates are a parameter and go to every
     task. Positions are code points; where lower case changes a text's length
