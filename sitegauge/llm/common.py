@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="sitegauge-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -65,6 +68,10 @@ class Shipped:
     def value(self) -> object:
         return cloudpickle.loads(self._packed.value)
 
+    def release(self) -> None:
+        """Frees it everywhere, once no task can need it any more."""
+        self._packed.destroy()
+
 
 def by_slice(
     work: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = SLICE
@@ -72,15 +79,21 @@ def by_slice(
     """A mapInArrow function that hands `work` at most `rows` rows at a time, so that long texts don't pile up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                out = work(batch.slice(start, rows))
-                if out is not None and out.num_rows:
-                    yield out
+        for piece in slices(batches, rows):
+            out = work(piece)
+            if out is not None and out.num_rows:
+                yield out
 
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda x: x != "")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +13,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shipped, by_slice, crc_fold
+from .common import Shipped, by_slice, crc_fold, slices
 from .training import sample
 
 BITS = 18
-#: Labelled rows to learn from; the one place where rows are sampled.
+#: Labelled rows to learn from, and their code points; the one place where rows are sampled.
 MAX_TRAINING_ROWS = 8192
+MAX_TRAINING_CHARS = 60_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.02
 #: Values are shares of the text's n-grams times this.
@@ -34,7 +35,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]))
+        shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
         out = (xxhash.xxh64_intdigest(word) & ~0xFFFF) | (xxhash.xxh32_intdigest(shape) & 0xFFFF)
         self[word] = out
         return out
@@ -49,18 +50,19 @@ def ngrams(text: str, hashes: WordHashes) -> np.ndarray:
     top, a, b = np.uint64(64 - BITS), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
     word, shape = h >> np.uint64(16), (h & np.uint64(0xFFFF)) + np.uint64(1 << 50)
     parts = [word * a, shape * a, (word[:-1] * b + word[1:]) * a, (shape[:-1] * b + shape[1:]) * a]
-    parts.append(np.full(int((word[:-1] == word[1:]).sum()), a * np.uint64(7), np.uint64))
+    parts.append(np.full(int((word[:-1] == word[1:]).sum()), 0x9E3779B97F4A7C15 * 7 & (1 << 64) - 1, np.uint64))
     return (np.concatenate(parts) >> top).astype(np.int64)
 
 
-def train(rows: Iterable[tuple[str, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights by bin, the bias last: FTRL-proximal with a learning rate for each bin."""
-    hashes = WordHashes()
-    data = []
-    for text, label in rows:
-        bins, counts = np.unique(ngrams(text, hashes), return_counts=True)
-        x = counts * (SCALE / max(1, counts.sum()))
-        data.append((np.append(bins, 1 << BITS).astype(np.int32), np.append(x, 1.0).astype(np.float32), float(label)))
+def features(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and values of a text, the bias last."""
+    bins, counts = np.unique(ngrams(text, hashes), return_counts=True)
+    x = counts * (SCALE / max(1, counts.sum()))
+    return np.append(bins, 1 << BITS).astype(np.int32), np.append(x, 1.0).astype(np.float32)
+
+
+def train(data: Sequence[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights by bin, the bias last, from rows (bins, values, label): FTRL-proximal with a learning rate for each bin."""
     z, n, w = (np.zeros((1 << BITS) + 1) for _ in range(3))
     for _ in range(epochs):
         for i, x, y in data:
@@ -82,12 +84,13 @@ def score_text(text: str, weights: np.ndarray, hashes: WordHashes) -> float:
 
 
 def _learner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for b in batches:
-        rows += zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["label"].to_pylist(), strict=True)
-    rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
+    rows, hashes = [], WordHashes()
+    for b in slices(batches):
+        for i, text, label in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
+            rows.append((xxhash.xxh64_intdigest(str(i)), *features(text, hashes), float(label)))
+    rows.sort(key=lambda r: r[0])
     if rows:
-        w = train((t, y) for _, t, y in rows)
+        w = train([r[1:] for r in rows])
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], ["bin", "weight"])
 
@@ -97,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
     At most 2**BITS + 1 weights come back.
     """
-    drawn = sample(docs, labels, label, max_rows).coalesce(1)
+    drawn = sample(docs, labels, label, max_rows, MAX_TRAINING_CHARS).coalesce(1)
     w = np.zeros((1 << BITS) + 1)
     for r in drawn.mapInArrow(_learner, "bin int, weight double").collect():
         w[r["bin"]] = r["weight"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shipped, by_slice, crc_fold
+from .common import Shipped, by_slice, crc_fold, slices
 from .training import sample
 
 BITS = 20
@@ -23,12 +24,15 @@ BITS = 20
 MAX_TRAINING_ROWS = 30_000
 #: Tokens are lower-case words; a word has its own bin and one for each of these prefixes.
 PREFIXES = (4, 5, 6)
-#: Weight of the Dirichlet prior as a share of all tokens; z from which a bin counts as toxic; what any other token costs.
+#: Weight of the Dirichlet prior as a share of all tokens; the z at which half of a bin's log-odds counts; what each token of a passage costs.
 PRIOR = 0.05
-MIN_Z = 4.5
-NEUTRAL = -0.15
+HALF_Z = 4.5
+COST = 0.15
+#: Steps of a score in the tables that calibration sums.
+STEP = 0.01
 #: A segment is a toxic passage if fewer are expected by chance in a text of its length.
 MAX_EXPECTED = 0.05
+MAX_EXCESS = 50.0
 THRESHOLD = 0.5
 CACHED_WORDS = 200_000
 _TOKEN = re.compile(r"[^\W_]+")
@@ -44,10 +48,11 @@ def tokens(text: str) -> list[str]:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Score of each bin: the lower end of its log-odds ratio under an informative Dirichlet prior, 0 unless significant.
+    """Score of each bin: its log-odds ratio under an informative Dirichlet prior, above 0 for toxic, below 0 for clean texts.
 
     The prior spreads its weight over the bins as both classes together fill
-    them, so rare bins shrink to even odds.
+    them, so rare bins shrink to even odds; and each log-odds ratio shrinks
+    by its own standard error, to a half of it at HALF_Z errors.
     """
     both = toxic + clean
     n1, n0, total = max(1.0, toxic.sum()), max(1.0, clean.sum()), max(1.0, both.sum())
@@ -56,11 +61,15 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     a, b = toxic + prior, clean + prior
     delta = np.log(a / np.maximum(n1 + weight - a, 1e-9)) - np.log(b / np.maximum(n0 + weight - b, 1e-9))
     sigma = np.sqrt(1 / a + 1 / b)
-    return np.where(delta / sigma >= MIN_Z, np.maximum(delta - sigma, 0.0), 0.0)
+    return np.where(both > 0, delta**3 / (delta**2 + (HALF_Z * sigma) ** 2), 0.0)
 
 
 class TokenScores(dict):
-    """token -> score, the largest of its bins' or NEUTRAL; forgets all when it gets large."""
+    """token -> its log-odds less COST; forgets all when it gets large.
+
+    The log-odds are the largest of its bins' if one is above 0, else the
+    least: a word isn't clean for a prefix that toxic words have too.
+    """
 
     def __init__(self, table: np.ndarray) -> None:
         super().__init__()
@@ -69,8 +78,8 @@ class TokenScores(dict):
     def __missing__(self, token: str) -> float:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        best = max(float(self.table[i]) for i in bins_of(token))
-        out = self[token] = best if best > 0 else NEUTRAL
+        own = [float(self.table[i]) for i in bins_of(token)]
+        out = self[token] = (max(own) if max(own) > 0 else min(own)) - COST
         return out
 
 
@@ -78,25 +87,26 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in one pass and order of the text.
 
     A segment joins the nearest earlier one whose sum before it is lower,
-    if that makes the joint one better than either; each is pushed and popped
-    once. Only positive scores start one, so runs of others cost one
-    subtraction of prefix sums.
+    if that makes the joint one better than either. Each segment keeps a link
+    to that earlier one, past those it can never join; so a search never
+    walks over a segment twice, and the pass is linear. Only positive scores
+    start one, so runs of others cost one subtraction of prefix sums.
     """
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[tuple[float, float, int, int]] = []  # sum before, sum after, start, end
+    found: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, start, end, link
     for i in np.flatnonzero(scores > 0).tolist():
         left, right, start, end = float(sums[i]), float(sums[i + 1]), i, i + 1
+        j = len(found) - 1
         while True:
-            # those with a sum before of `left` or more can never be joined through: the next ones cannot either
-            j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= right:
-                found.append((left, right, start, end))
+                found.append((left, right, start, end, j))
                 break
-            left, start = found[j][0], found[j][2]
+            left, _, start, _, link = found[j]
             del found[j:]
-    return [(s, e, r - le) for le, r, s, e in found]
+            j = link
+    return [(s, e, r - le) for le, r, s, e, _ in found]
 
 
 @dataclass
@@ -118,7 +128,7 @@ class Model:
         return total, kept
 
     def probability(self, excess: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * min(excess, 50.0) + self.bias))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * min(excess, MAX_EXCESS) + self.bias))))
 
 
 def _scored(text: str, cache: TokenScores) -> np.ndarray:
@@ -128,7 +138,7 @@ def _scored(text: str, cache: TokenScores) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.zeros((2, 1 << BITS))
-    for b in batches:
+    for b in slices(batches):
         for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
             # once a document, so that one long or repetitive text doesn't make its words toxic
             seen = {i for t in set(tokens(text)) for i in bins_of(t)}
@@ -141,46 +151,62 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _best(table) -> object:
+def _chance(table: Shipped):
+    """A mapInArrow function over clean texts: how many segments have each score (in STEPs), and how many tokens there are (at -1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TokenScores(table.value)
-        for b in batches:
-            out = []
+        cache, seen = TokenScores(table.value), Counter()
+        for b in slices(batches):
             for text in b["text"].to_pylist():
                 scores = _scored(text, cache)
-                found = segments(scores)
-                out.append({"n": len(scores), "best": max((x for _, _, x in found), default=0.0), "all": [x for _, _, x in found]})
-            yield pa.RecordBatch.from_arrays(
-                [b["label"], pa.array([x["n"] for x in out], pa.int32()), pa.array([x["best"] for x in out], pa.float64()), pa.array([x["all"] for x in out], pa.list_(pa.float64()))],
-                ["label", "n", "best", "found"],
-            )
+                seen[-1] += len(scores)
+                seen.update(round(x / STEP) for _, _, x in segments(scores))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["at", "n"])
+
+    return run
+
+
+def _excesses(model: Shipped):
+    """A mapInArrow function over texts (text, label): each label with the text's excess in STEPs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        cache = TokenScores(m.table)
+        for b in slices(batches):
+            at = [round(min(MAX_EXCESS, m.excess(_scored(t, cache))[0]) / STEP) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["label"], pa.array(at, pa.int64())], ["label", "at"])
 
     return run
 
 
-def calibrate(model: Model, rows: list[tuple[int, int, float, list[float]]]) -> Model:
-    """Fits the extreme-value law on the clean ones of rows (label, tokens, best score, all scores), then the link to a probability."""
-    clean = [(n, found) for label, n, _, found in rows if not label and n]
-    chance, length = [x for _, found in clean for x in found], sum(n for n, _ in clean)
+def calibrate_chance(model: Model, counts: dict[int, int]) -> Model:
+    """Fits the extreme-value law of scores by chance on counts of clean texts' segments by score, and of their tokens at -1.
+
+    Segments by chance: K of them a token, the scores of the better half
+    exponential, so the best of a text is extreme-value distributed. Two
+    quantiles give the rate, as a few mislabelled texts don't move them.
+    """
+    length, total = counts.get(-1, 0), sum(n for at, n in counts.items() if at >= 0)
     if length:
-        # segments by chance: K of them a token, their scores exponential, so the best of a text is extreme-value distributed;
-        # the median isn't moved by a few mislabelled texts
-        model.rate = float(np.clip(math.log(2) / max(np.median(chance), 1e-3), 0.2, 2.0)) if chance else 2.0
-        model.log_k = math.log(max(len(chance), 0.5) / length)
-    floor = -math.log(MAX_EXPECTED)
-    t, y = [], []
-    for label, n, _, found in rows:
-        beyond = [model.rate * x - model.log_k - math.log(max(1, n)) for x in found]
-        t.append(min(50.0, sum(b for b in beyond if b >= floor)))
-        y.append(1.0 if label else 0.0)
-    t, y = np.array(t), np.array(y)
+        ats = sorted(k for k in counts if k >= 0)
+        upto = np.cumsum([counts[k] for k in ats])
+        half, most = (ats[int(np.searchsorted(upto, q * total))] * STEP if total else 0.0 for q in (0.5, 0.95))
+        model.rate = float(np.clip(math.log(0.5 / 0.05) / max(most - half, STEP), 0.2, 5.0)) if total else 5.0
+        model.log_k = math.log(max(total / 2, 0.5) / length) + model.rate * half
+    return model
+
+
+def calibrate_link(model: Model, counts: list[tuple[int, int, int]]) -> Model:
+    """Fits the logistic link from a text's excess to a probability on counts (label, excess in STEPs, texts)."""
+    t = np.array([at * STEP for _, at, _ in counts])
+    y, n = np.array([1.0 if label else 0.0 for label, _, _ in counts]), np.array([float(k) for _, _, k in counts])
     if len(set(y.tolist())) == 2:
         w = np.zeros(2)
         x = np.stack([t, np.ones_like(t)], 1)
         for _ in range(50):  # Newton's method with a small ridge
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
-            w -= np.linalg.solve(h, x.T @ (p - y) + 0.1 * w)
+            h = (x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+            w -= np.linalg.solve(h, x.T @ (n * (p - y)) + 0.1 * w)
         model.slope, model.bias = max(1e-3, float(w[0])), float(w[1])
     return model
 
@@ -189,8 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     """A model from a bounded sample of labelled training rows.
 
     Three quarters of it give the token counts, summed by bin (at most
-    2**BITS of them); the rest, one row of scores each, the calibration.
-    Without labelled rows every text scores the same.
+    2**BITS of them); the rest the calibration, as counts of scores in steps,
+    summed by executors too. Without labelled rows every text scores the same.
     """
     drawn = sample(docs, labels, label, max_rows)
     for_scores = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) > 0
@@ -201,9 +227,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         at = b["bin"].to_numpy()
         count[0, at], count[1, at] = b["n0"].to_numpy(), b["n1"].to_numpy()
     model = Model(log_odds(count[1], count[0]).astype(np.float32))
-    table = Shipped(docs.sparkSession, model.table)
-    rest = drawn.where(~for_scores).select("text", "label").mapInArrow(_best(table), "label int, n int, best double, found array<double>")
-    return calibrate(model, [tuple(r) for r in rest.collect()])
+    rest = drawn.where(~for_scores).select("text", "label")
+    chance = rest.where("label = 0").select("text").mapInArrow(_chance(Shipped(docs.sparkSession, model.table)), "at long, n long")
+    model = calibrate_chance(model, {r["at"]: r["n"] for r in chance.groupBy("at").agg(F.sum("n").alias("n")).collect()})
+    found = rest.mapInArrow(_excesses(Shipped(docs.sparkSession, model)), "label int, at long").groupBy("label", "at").count()
+    return calibrate_link(model, sorted((r["label"], r["at"], r["count"]) for r in found.collect()))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
