@@ -12,11 +12,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shipped, by_slice
+from .common import Shipped, by_slice, materialize
 
-#: Edits allowed for a character of an item, and the shortest item looked for.
+#: Edits allowed for a character of an item. An item too short for one edit must stand exactly, between word boundaries.
 ERROR_SHARE = 0.06
-MIN_CHARS = 32
 #: Items that one scan of the documents looks for.
 BLOCK = 20_000
 LEAKS = "array<struct<item_id:long,start:int,end:int,distance:int>>"
@@ -103,6 +102,10 @@ class Finder:
                 if (k, start) in tried:
                     continue
                 tried.add((k, start))
+                if not budget:
+                    if whole_words(plain, start, start + len(item)):
+                        found[k, start + len(item)] = (start, 0)
+                    continue
                 if plain.startswith(item, max(start, 0)) and start >= 0:
                     found[k, start + len(item)] = (start, 0)
                     continue
@@ -126,59 +129,83 @@ class Finder:
         return out
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] neither begins nor ends within a word."""
+    return not (start > 0 and text[start - 1].isalnum() and text[start].isalnum()) and not (
+        end < len(text) and text[end - 1].isalnum() and text[end].isalnum()
+    )
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items to look for, about BLOCK at a time; null and short ones aren't looked for, equal rows once."""
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
+    """Items to look for, about BLOCK at a time; null and blank ones can't be, equal rows count once."""
+    items = benchmark.where(F.col("text").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     )
     n = -(-items.count() // BLOCK)
     for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()
-        yield sorted({(r["item_id"], t) for r in rows if len(t := normalise(r["text"])) >= MIN_CHARS})
-
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
+        found = {(r["item_id"], t) for r in rows if (t := normalise(r["text"]))}
+        yield sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
-def mark(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE) -> DataFrame:
-    """docs with a column leaks: item_id, start, end (code points of the text) and distance of every item found.
 
-    A column of that name in docs is replaced. Texts are scanned whole and
-    compared in lower case with white space collapsed. A null or empty text
-    has no leaks; with no items nothing has. The items go to every task in
-    blocks of about BLOCK, each a scan of the documents.
-    """
-    kept = docs.drop("leaks").withColumn("text", F.col("text").cast("string"))
-    df = kept.withColumn("leaks", F.array().cast(LEAKS))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    place = kept.columns.index("text")
-    for items in _blocks(benchmark):
-        shipped = Shipped(docs.sparkSession, items)
+def _scanned(docs: DataFrame, shipped: Shipped, error_share: float, to: str) -> DataFrame:
+    """docs with an array of what one block of items has in each text, as the last column."""
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    place = docs.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            finder = Finder(shipped.value, error_share)
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(shipped.value, error_share)
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]))
 
-            def work(b: pa.RecordBatch) -> pa.RecordBatch:
-                here = [finder.find(t or "") for t in b.column(place).to_pylist()]
-                before = b.column(b.num_columns - 1).to_pylist()
-                return pa.RecordBatch.from_arrays(
-                    [*b.columns[:-1], pa.array([x + y for x, y in zip(before, here, strict=True)], kind)], b.schema.names
-                )
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            here = [finder.find(t or "") for t in b.column(place).to_pylist()]
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(here, kind)], [*b.schema.names, to])
 
-            yield from by_slice(work)(batches)
+        yield from by_slice(work)(batches)
 
-        df = df.mapInArrow(run, f"{head}, leaks {LEAKS}")
-    return df
+    return docs.mapInArrow(run, f"{head}, `{to}` {LEAKS}")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE) -> DataFrame:
-    """doc_id, item_id, start, end, distance: one row for each place in docs where an item stands."""
-    found = mark(docs.select("doc_id", "text"), benchmark, error_share)
-    return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
+    """doc_id, item_id, start, end, distance: one row for each place in docs where an item stands.
+
+    start and end are code points of the text. Texts are scanned whole and
+    compared in lower case with white space collapsed. A null or empty text
+    holds no item, a null or blank item stands nowhere, an item without an id
+    has a null one; repeated rows each give theirs. The items go to every
+    task in blocks of about BLOCK, each a scan of the documents.
+    """
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out, shipped = None, None
+    for items in _blocks(benchmark):
+        if out is not None:
+            out = materialize(out)  # before the next block, so that only one is in memory
+            shipped.release()
+        shipped = Shipped(docs.sparkSession, items)
+        found = _scanned(own, shipped, error_share, "leaks").select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        nothing = own.where(F.lit(False)).withColumn("leaks", F.array().cast(LEAKS))
+        return nothing.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE) -> DataFrame:
-    """The rows of docs that hold no item, with their columns."""
-    found = mark(docs, benchmark, error_share).where(F.size("leaks") == 0).drop("leaks")
-    return found.select(*docs.columns) if "leaks" not in docs.columns else found
+    """The rows of docs that hold no item, with all their columns, as matches() finds them.
+
+    Blocks of items follow each other, each on what the one before has left.
+    """
+    to = "leaks"
+    while to in docs.columns:
+        to += "_"
+    left, shipped = docs.withColumn("text", F.col("text").cast("string")), None
+    for items in _blocks(benchmark):
+        if shipped is not None:
+            left = materialize(left)
+            shipped.release()
+        shipped = Shipped(docs.sparkSession, items)
+        left = _scanned(left, shipped, error_share, to).where(F.size(to) == 0).drop(to)
+    return left
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
