@@ -101,14 +101,20 @@ def _passed(cuts: list, x: pd.Series, string: bool) -> np.ndarray:
     return np.array([*(bisect_right(known, v) for v in values), 0])[codes] + (len(cuts) - len(known))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
+def assign(
+    docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, also: tuple[str, ...] = ()
+) -> DataFrame:
     """doc_id, size, text_crc32, hilbert, law, shard, slot, grown_shard of every row of docs; row counts differ by one at most.
 
     The order is by curve index, then crc32 of the text, then doc_id (nulls
     first); rows equal in all of these are alike but for their size's
     order, so any order of them is the same result. A null text has size 8
-    and the crc32 of ''. Null metadata sorts first; other columns are ignored;
-    an empty table gives an empty result.
+    and the crc32 of ''. Null metadata sorts first; an empty table gives an
+    empty result; columns other than doc_id, text, the dimensions and those
+    in `also`, which are carried along, are ignored. The law `rows` goes
+    before all else: equal texts of one cell of metadata stand side by side,
+    so a group of them lies in as few shards as its count allows, and a group
+    larger than a shard, or one spread over metadata, in several.
 
     Texts aren't shuffled: keys of a few dozen bytes a row are sorted by range
     on the whole order, ids included, so that no hot value lands in one task.
@@ -129,11 +135,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
         return pd.Series(hilbert_index(np.stack(at, 1), bits))
 
     keys = docs.select(
-        "doc_id", (F.length(t) + 8).cast("long").alias("size"), F.crc32(t).cast("long").alias("text_crc32"),
+        "doc_id", *also, (F.length(t) + 8).cast("long").alias("size"), F.crc32(t).cast("long").alias("text_crc32"),
         *(_key(F.col(d), kinds[d]).alias(n) for d, n in zip(dimensions, names, strict=True)),
     )
     order = ["hilbert", "text_crc32", "doc_id"]
-    keys = materialize(keys.select("doc_id", "size", "text_crc32", curve(*names).alias("hilbert")))
+    keys = materialize(keys.select("doc_id", *also, "size", "text_crc32", curve(*names).alias("hilbert")))
     n = keys.count()
     ranges = max(1, -(-n // ROWS_PER_RANGE), min(shards, -(-n // 1000)))
     ranged = keys.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
@@ -155,7 +161,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
     df = df.withColumn("shard", shard.cast("int"))
     start = F.least(F.col("shard"), F.lit(large)) * (small + 1) + F.greatest(F.col("shard") - large, F.lit(0)) * small
     return df.select(
-        "doc_id", "size", "text_crc32", "hilbert", F.lit("rows").alias("law"), "shard",
+        "doc_id", *also, "size", "text_crc32", "hilbert", F.lit("rows").alias("law"), "shard",
         (F.col("rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
@@ -163,11 +169,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS) -> None:
     """Write docs as Parquet under path/shard=N/, in slot order, so that files prune by every dimension.
 
-    Rows meet their shard by doc_id, which must be unique here.
+    Every row is written once, whatever its id: rows are numbered, written to
+    the shared folder, and meet their shard by number. Columns shard and slot
+    of docs are replaced.
     """
-    placed = assign(docs, shards, dimensions).select("doc_id", "shard", "slot")
-    df = docs.drop("shard", "slot").join(placed, "doc_id")
-    df.repartition(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    own = materialize(docs.drop("shard", "slot", "row__").withColumn("row__", F.monotonically_increasing_id()))
+    placed = assign(own, shards, dimensions, also=("row__",)).select("row__", "shard", "slot")
+    df = own.join(placed, "row__").drop("row__")
+    df.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
