@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 
 def normalize(url: Column) -> Column:
-    """Trimmed, with https:// in front unless it has http:// or https:// (in lower case)."""
-    u = F.trim(url)
+    """Stripped of white space, with https:// in front unless it has http:// or https:// (in lower case)."""
+    u = strip(url)
     return F.when(u.startswith("http://") | u.startswith("https://"), u).otherwise(F.concat(F.lit("https://"), u))
 
 
@@ -37,3 +39,28 @@ def canonical(url: Column) -> Column:
 
 def fetchable(url: Column) -> Column:
     return url.rlike(r"^https?://")
+
+
+def unquoted(x: Column) -> Column:
+    """Percent escapes decoded; what isn't an escape stays as it is."""
+    valid = F.regexp_replace(F.replace(x, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(x.contains("%"), F.try_url_decode(valid)).otherwise(x)
+
+
+def quoted(x: Column) -> Column:
+    """Percent escapes for all but letters, digits, slashes and _.-~, so that two spellings of a path compare."""
+    out = F.url_encode(x)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def path_of(url: Column) -> Column:
+    """What a rule of robots.txt is compared with: all after the host, quoted anew; / if that is empty."""
+    path = rule_path(F.regexp_replace(unquoted(url), r"^https?://[^/?#]*", ""))
+    return F.when(path == "", "/").otherwise(path)
+
+
+def rule_path(value: Column) -> Column:
+    """A path as rules and URLs are compared: quoted anew, without an empty query at the end."""
+    return quoted(F.regexp_replace(value, r"^([^?#]*)[?#]$", "$1"))

@@ -2,168 +2,79 @@
 
 from __future__ import annotations
 
-import sys
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import text as txt
+from ..sources import dimensions as d
+from . import page
 
-#: Elements that are no content, words that mark boilerplate, and elements these never remove.
-DROPPED = ("script", "style", "noscript", "header", "footer", "nav", "aside")
-BOILERPLATE = ("menu", "navigation", "nav", "sidebar", "footer", "cookie", "banner", "ad", "advertisement")
-PROTECTED = ("body", "html", "main", "article")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-#: Script sources of single-page applications.
-BUNDLE = r"(?i)(\.chunk\.js|bundle\.js|vendor\.\w+\.js|app\.\w+\.js|\bwebpack\b|\bnext\b.*\.js|nuxt.*\.js|_next/static|__nuxt|react-dom)"
 SPA_WORDS = 100
 EXCERPT = 500
 
 
-class _Node:
-    __slots__ = ("name", "attrs", "parent", "children")
-
-    def __init__(self, name: str, attrs: dict, parent: _Node | None) -> None:
-        self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
-
-
-class _Tree(HTMLParser):
-    """A forgiving tree: paragraphs close each other, stray end tags are ignored, open ones end with their parent."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "p":
-            self._close("p", stop=("article", "main", "div", "section", "body", "td", "li"))
-        node = _Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self._close(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        self._close(tag)
-
-    def _close(self, tag: str, stop: tuple[str, ...] = ()) -> None:
-        node = self.at
-        while node.parent is not None and node.name != tag:
-            if node.name in stop:
-                return
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-
-def _is_boilerplate(node: _Node) -> bool:
-    if node.name in DROPPED:
-        return True
-    marks = f"{' '.join(node.attrs.get('class', '').split())} {node.attrs.get('id', '')}".lower()
-    return node.name not in PROTECTED and any(word in marks for word in BOILERPLATE)
-
-
-def _prune(root: _Node) -> None:
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not _is_boilerplate(c)]
-        todo += [c for c in node.children if not isinstance(c, str)]
-
-
-def _walk(root: _Node) -> list:
-    """Nodes and strings below root, in document order."""
-    out, todo = [], list(reversed(root.children))
-    while todo:
-        x = todo.pop()
-        out.append(x)
-        if not isinstance(x, str):
-            todo += reversed(x.children)
-    return out
-
-
-def _text(node: _Node, joint: str = " ") -> str:
-    return joint.join(s for x in _walk(node) if isinstance(x, str) and (s := x.strip()))
-
-
-def main_content(html: str) -> tuple[str, bool]:
-    """The main text of a page and whether it is only all that remains.
-
-    Articles and mains come first, in order; then the parent with the most
-    paragraph text, if it has over 100 characters; then everything.
-    """
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    _prune(tree.root)
-    nodes = [x for x in _walk(tree.root) if not isinstance(x, str)]
-    clean = lambda s: " ".join(s.split())
-    if text := clean(" ".join(_text(n) for n in nodes if n.name in ("article", "main"))):
-        return text, False
-    sums: dict[int, list] = {}
-    for n in nodes:
-        if n.name == "p":
-            sums.setdefault(id(n.parent), [0, n.parent])[0] += len(_text(n, ""))
-    if sums:
-        text = clean(_text(max(sums.values(), key=lambda x: x[0])[1]))
-        if len(text) > 100:
-            return text, False
-    return clean(_text(tree.root)), True
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("fallback", T.BooleanType())]))
-def _extract(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([main_content(h or "") for h in html], columns=["text", "fallback"])
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, body_text, fallback, body_word_count."""
-    df = pages.select("page_id", _extract("html").alias("x")).select("page_id", F.col("x.text").alias("body_text"), "x.fallback")
-    return df.withColumn("body_word_count", txt.word_count(F.col("body_text")))
+    df = page.with_main(pages)
+    return df.select("page_id", F.col("main.text").alias("body_text"), "main.fallback", F.col("main.words").alias("body_word_count"))
 
 
-def bundles(html: Column) -> Column:
-    """Sources of scripts that look like application bundles, in order."""
-    sources = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*\ssrc\s*=\s*\x22([^\x22]*)\x22"), F.lit(1))
-    return F.filter(sources, lambda s: s.rlike(BUNDLE))
+def bundles(pages: DataFrame) -> DataFrame:
+    """page_id and the sources of scripts that look like application bundles, in order."""
+    return page.with_head(pages).select("page_id", F.col("head.bundles").alias("bundles"))
 
 
 def likely_spa(word_count: Column, has_bundles: Column) -> Column:
     return (word_count < SPA_WORDS) & has_bundles
 
 
-def check(pages: DataFrame, render: bool = False) -> DataFrame:
-    """Content signals of a page; `render` uses the column rendered_html of pages that look like applications, if there is one.
+def with_signals(df: DataFrame, render: bool = False) -> DataFrame:
+    """Adds the content signals to rows with `main` and `failed`.
 
-    A failed fetch has no words and says so in quality_label.
+    With `render`, pages that look like applications take their text from
+    rendered_html, a column that a renderer fills for them, and its error
+    from render_error. A failed fetch has no words and says so.
     """
-    failed = F.coalesce(F.length("html") == 0, F.lit(True))
-    extra = ["rendered_html"] if render and "rendered_html" in pages.columns else []
-    df = pages.select("page_id", "html", failed.alias("failed"), bundles(F.col("html")).alias("bundles"), *extra)
-    df = df.withColumn("x", _extract("html")).withColumn("words", txt.word_count(F.col("x.text")))
-    spa = F.coalesce(~F.col("failed") & likely_spa(F.col("words"), F.size("bundles") > 0), F.lit(False))
-    df = df.withColumn("spa", spa)
-    rendered = F.when(F.col("spa"), _extract("rendered_html")["text"]) if extra else F.lit(None).cast("string")
-    df = df.withColumn("rendered", rendered)
+    main = F.col("main")
+    spa = ~F.col("failed") & likely_spa(main["words"], F.size(main["bundles"]) > 0)
+    df = df.withColumn("likely_spa", F.coalesce(spa, F.lit(False)))
+    if render:
+        # only the pages that were rendered have any markup for the parser
+        wanted = F.when(F.col("likely_spa"), F.col("rendered_html"))
+        df = page.with_main(df.drop("failed").withColumn("wanted__", wanted).withColumnRenamed("main", "plain__"), "wanted__")
+        rendered = F.when(~F.col("failed"), F.col("main"))
+        df = df.withColumn("rendered", rendered).drop("main", "failed", "wanted__").withColumnRenamed("plain__", "main")
+        df = df.withColumn("failed", page.failed(F.col("html")))
+        problem = F.when(F.col("rendered").isNull() & F.col("render_error").isNotNull(), F.concat(F.lit(d.RENDER_FAILED), F.col("render_error")))
+    else:
+        df = df.withColumn("rendered", F.lit(None).cast("struct<text:string,fallback:boolean,words:bigint,bundles:array<string>>"))
+        problem = F.lit(d.RENDER_OFF)
+    used = F.col("likely_spa") & F.lit(render)
+    return df.withColumns({
+        "body_word_count": F.when(F.col("failed"), 0).otherwise(F.col("main.words")).cast("long"),
+        "rendered_used": used, "rendered_word_count": F.col("rendered.words"),
+        "final_text": F.coalesce("rendered.text", "main.text"), "excerpt": F.left("main.text", F.lit(EXCERPT)),
+        "fallback": F.when(used, F.coalesce("rendered.fallback", F.lit(False))).otherwise(F.col("main.fallback")),
+        "bundles": F.slice("main.bundles", 1, 5), "has_bundles": F.size("main.bundles") > 0,
+        "content_error": F.when(F.col("failed"), F.coalesce("fetch_error", F.lit(d.EMPTY_PAGE))).when(F.col("likely_spa"), problem),
+    })
+
+
+def check(pages: DataFrame, render: bool = False) -> DataFrame:
+    """Content signals of a page; `render` uses rendered_html and render_error of pages that look like applications."""
+    missing = {c: F.lit(None).cast("string") for c in ("fetch_error", "render_error", "rendered_html") if c not in pages.columns}
+    df = with_signals(page.with_main(pages.withColumns(missing) if missing else pages), render)
     return df.select(
-        "page_id", F.when(F.col("failed"), 0).otherwise(F.col("words")).cast("long").alias("body_word_count"), F.col("spa").alias("likely_spa"),
-        F.col("rendered").isNotNull().alias("rendered_used"),
-        F.when(F.col("rendered").isNotNull(), txt.word_count(F.col("rendered"))).alias("rendered_word_count"),
-        F.left(F.col("x.text"), F.lit(EXCERPT)).alias("excerpt"), F.col("x.fallback").alias("fallback"), F.slice("bundles", 1, 5).alias("bundles"),
-        F.when(F.col("failed"), "unavailable — page fetch failed").alias("quality_label"),
-        F.when(F.col("spa") & F.col("rendered").isNull(), "rendering is not enabled").alias("error"),
+        "page_id", "body_word_count", "likely_spa", "rendered_used", "rendered_word_count", "excerpt", "fallback", "has_bundles", "bundles",
+        F.when(F.col("failed"), d.PAGE_FAILED).alias("quality_label"), F.col("content_error").alias("error"),
     )
 
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+def evidence(judgment: Column) -> Column:
+    """What a report keeps of the content checks; null where the page couldn't be had but for the error."""
+    return F.struct(
+        "body_word_count", F.col("excerpt").alias("visible_text_excerpt"), F.col("fallback").alias("extraction_fallback_used"),
+        F.col("has_bundles").alias("has_js_bundles"), F.col("bundles").alias("bundle_urls"), "likely_spa", "rendered_used", "rendered_word_count",
+        F.struct(F.lit(SPA_WORDS).alias("word_threshold"), F.lit(True).alias("js_bundle_required")).alias("spa_thresholds"),
+        F.struct(*(judgment[c].alias(c) for c in ("provider", "score", "label", "cached"))).alias("llm"),
+        F.when(F.col("failed"), F.col("content_error")).alias("fetch_error"),
+    )

@@ -11,8 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import text as txt
+from ..sources import dimensions as d
+
 TTL_SECONDS = 24 * 3600
 UNAVAILABLE = "unavailable"
+ERROR_CHARS = 120
+#: (cache_key, prompt) in, (cache_key, raw, error) out.
+Scorer = Callable[[DataFrame], DataFrame]
 
 
 def label(score: Column) -> Column:
@@ -21,24 +27,36 @@ def label(score: Column) -> Column:
 
 def _reasoning(raw: Column) -> Column:
     last = F.try_element_at(F.regexp_extract_all(raw, F.lit(r"(?m)^[ \t]*REASONING:[ \t]*([^\n]*)"), F.lit(1)), F.lit(-1))
-    return F.coalesce(F.nullif(F.trim(last), F.lit("")), F.lit("No reasoning provided"))
+    return F.coalesce(F.nullif(txt.strip(last), F.lit("")), F.lit(d.NO_REASON))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _labelled(score: Column, reason: Column) -> Column:
+    return _once(score, lambda x: F.struct(x.alias("score"), label(x).alias("label"), reason.alias("reasoning")))
 
 
 def parse_quality(raw: Column) -> Column:
     """score, label and reasoning of a reply: the mean of the digits 1 to 5 on its three lines, scaled to 0 to 1."""
     found = F.regexp_extract_all(raw, F.lit(r"(?m)^[ \t]*(?:READABILITY|SUBSTANTIVENESS|CITABILITY):[^1-5\n]*([1-5])"), F.lit(1))
-    total = F.aggregate(found, F.lit(0), lambda s, x: s + x.cast("int"))
-    score = F.when(F.size(found) > 0, F.round((total / F.size(found) - 1) / 4, 3)).when(raw.isNotNull(), 0.5)
-    reason = F.when(F.size(found) > 0, _reasoning(raw)).when(raw.isNotNull(), "Could not parse LLM response")
-    return F.struct(score.alias("score"), label(score).alias("label"), reason.alias("reasoning"))
+
+    def parsed(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0), lambda s, x: s + x.cast("int"))
+        # ties such as 0.0625 go to the even digit
+        score = F.when(F.size(found) > 0, F.bround((total / F.size(found) - 1) / 4, 3)).when(raw.isNotNull(), 0.5)
+        return _labelled(score, F.when(F.size(found) > 0, _reasoning(raw)).when(raw.isNotNull(), d.NOT_PARSED))
+
+    return _once(found, parsed)
 
 
 def parse_citation(raw: Column) -> Column:
     """score, label and reasoning of a reply: its last likelihood digit, 3 without one, scaled to 0 to 1."""
     found = F.regexp_extract_all(raw, F.lit(r"(?m)^[ \t]*CITATION_LIKELIHOOD:[^1-5\n]*([1-5])"), F.lit(1))
     digit = F.coalesce(F.try_element_at(found, F.lit(-1)), F.when(raw.isNotNull(), "3")).cast("int")
-    score = F.round((digit - 1) / 4, 3)
-    return F.struct(score.alias("score"), label(score).alias("label"), F.when(raw.isNotNull(), _reasoning(raw)).alias("reasoning"))
+    return _labelled(F.bround((digit - 1) / 4, 3), F.when(raw.isNotNull(), _reasoning(raw)))
 
 
 def cache_key(call_type: str, *content: Column) -> Column:
@@ -49,6 +67,12 @@ def quality_key(url: Column, excerpt: Column) -> Column:
     return cache_key("content_quality", url, F.left(excerpt, F.lit(500)))
 
 
+def citation_key(url: Column, description: Column, types: Column, words: Column) -> Column:
+    """The key of a citation judgment; an absent description is written None."""
+    content = F.concat_ws("|", url, F.coalesce(description, F.lit("None")), F.array_join(types, ","), words.cast("string"))
+    return cache_key("citation_likelihood", content)
+
+
 def quality_prompt(url: Column, excerpt: Column) -> Column:
     """Asks for three ratings from 1 to 5 and a reason, one a line."""
     ask = (
@@ -79,13 +103,77 @@ def lookup(requests: DataFrame, cache: DataFrame, now: Column, ttl: int = TTL_SE
     return requests.join(fresh, "cache_key", "left").withColumn("cached", F.col("created_at").isNotNull())
 
 
-def judge(requests: DataFrame, cache: DataFrame, now: Column, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Cached judgments, and the scorer's for the rest: only misses reach the model. Without a scorer they have no score."""
-    found = lookup(requests, cache, now)
-    hits, misses = found.where("cached"), found.where("NOT cached").select(requests.columns)
-    if scorer is None:
-        return hits.select(*requests.columns, "score", "label", "cached").unionByName(
-            misses.select("*", F.lit(None).cast("double").alias("score"), F.lit(UNAVAILABLE).alias("label"), F.lit(False).alias("cached"))
-        )
-    fresh = scorer(misses).withColumn("cached", F.lit(False))
-    return hits.select(*requests.columns, "score", "label", "cached").unionByName(fresh.select(*requests.columns, "score", "label", "cached"))
+def strict(raw: Column, call_type: str) -> Column:
+    return parse_quality(raw) if call_type == "content_quality" else parse_citation(raw)
+
+
+def legacy_quality(raw: Column) -> Column:
+    """score, label, reasoning as an older parser reads them: any digit counts, the label goes by the unrounded score, a reason may be ''."""
+    found = F.regexp_extract_all(raw, F.lit(r"(?m)^[ \t]*(?:READABILITY|SUBSTANTIVENESS|CITABILITY):[^0-9\n]*([0-9])"), F.lit(1))
+    exact = (F.aggregate(found, F.lit(0), lambda s, x: s + x.cast("int")) / F.size(found) - 1) / 4
+    last = F.try_element_at(F.regexp_extract_all(raw, F.lit(r"(?m)^[ \t]*REASONING:[ \t]*([^\n]*)"), F.lit(1)), F.lit(-1))
+    return F.when(
+        F.size(found) > 0,
+        F.struct(F.bround(exact, 3).alias("score"), label(exact).alias("label"), F.coalesce(txt.strip(last), F.lit("")).alias("reasoning")),
+    ).when(raw.isNotNull(), F.struct(F.lit(0.5).alias("score"), F.lit("medium").alias("label"), F.lit(d.NOT_PARSED).alias("reasoning")))
+
+
+def legacy_citation(raw: Column) -> Column:
+    """The same for a likelihood; without a digit it is 3."""
+    found = F.regexp_extract_all(raw, F.lit(r"(?m)^[ \t]*CITATION_LIKELIHOOD:[^0-9\n]*([0-9])"), F.lit(1))
+    exact = (F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("3")).cast("int") - 1) / 4
+    last = F.try_element_at(F.regexp_extract_all(raw, F.lit(r"(?m)^[ \t]*REASONING:[ \t]*([^\n]*)"), F.lit(1)), F.lit(-1))
+    return F.when(
+        raw.isNotNull(),
+        F.struct(F.bround(exact, 3).alias("score"), label(exact).alias("label"), F.coalesce(txt.strip(last), F.lit("")).alias("reasoning")),
+    )
+
+
+def provider_of(wanted: str, key: str | None) -> str:
+    """The provider that answers: the one wanted if there is a key for it, else mock, which never does."""
+    return wanted.lower() if wanted.lower() != "mock" and key else "mock"
+
+
+def unavailable(reason: Column) -> Column:
+    """A judgment that isn't one: no score, and why."""
+    return F.struct(
+        F.lit(None).cast("double").alias("score"), F.lit(UNAVAILABLE).alias("label"), reason.alias("reasoning"), F.lit("mock").alias("provider"),
+        F.lit(False).alias("cached"),
+    )
+
+
+def answered(raw: Column, error: Column, call_type: str, provider: str) -> Column:
+    """A reply as a judgment; a call that failed gives none, with the error's first 120 characters."""
+    x = strict(raw, call_type)
+    good = F.struct(x["score"].alias("score"), x["label"].alias("label"), x["reasoning"].alias("reasoning"), F.lit(provider).alias("provider"), F.lit(False).alias("cached"))
+    return F.when(raw.isNotNull() & error.isNull(), good).otherwise(unavailable(F.concat(F.lit(d.JUDGE_FAILED), F.left(F.coalesce(error, F.lit("no reply")), F.lit(ERROR_CHARS)))))
+
+
+def judge(
+    requests: DataFrame, cache: DataFrame, now: Column, call_type: str, provider: str = "mock", enabled: bool = True, scorer: Scorer | None = None
+) -> DataFrame:
+    """requests (page_id, cache_key, prompt) with a column `judgment`: score, label, reasoning, provider, cached.
+
+    What the cache has fresh is taken from it; only misses reach the scorer,
+    which gets (cache_key, prompt) once a key and returns (cache_key, raw,
+    error). Where judgments are off, or there is no key or scorer, they are
+    unavailable and say why.
+    """
+    if not enabled or provider == "mock" or scorer is None:
+        return requests.withColumn("judgment", unavailable(F.lit(d.JUDGE_OFF if not enabled else d.JUDGE_NO_KEY)))
+    hit = F.struct("score", "label", "reasoning", "provider", F.lit(True).alias("cached"))
+    found = lookup(requests, cache.select("cache_key", "created_at", "score", "label", "reasoning", "provider"), now)
+    hits = found.where("cached").select(*requests.columns, hit.alias("judgment"))
+    misses = found.where("NOT cached").select(requests.columns)
+    replies = scorer(misses.select("cache_key", "prompt").dropDuplicates(["cache_key"])).select("cache_key", "raw", "error")
+    fresh = misses.join(replies, "cache_key", "left").select(*requests.columns, answered(F.col("raw"), F.col("error"), call_type, provider).alias("judgment"))
+    return hits.unionByName(fresh)
+
+
+def to_cache(judged: DataFrame, call_type: str, now: Column) -> DataFrame:
+    """Rows for the cache: new judgments that have a score, one a key; failures are never kept."""
+    new = judged.where(F.col("judgment.score").isNotNull() & ~F.col("judgment.cached")).dropDuplicates(["cache_key"])
+    return new.select(
+        "cache_key", F.lit(call_type).alias("call_type"), *(F.col("judgment")[c].alias(c) for c in ("score", "label", "reasoning", "provider")),
+        now.cast("double").alias("created_at"), F.xxhash64("cache_key", now).alias("id"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import dimensions as d
 from ..sources.dimensions import BLOCKING, REGIONS
 
 PROBE_BOT = "OAI-SearchBot"
@@ -32,20 +33,39 @@ def counts(probes: DataFrame) -> DataFrame:
     )
 
 
-def anomaly(probes: DataFrame) -> DataFrame:
-    """page_id, anomaly, reason with the counts it rests on."""
+def facts(probes: Column) -> Column:
+    """The same counts from an array of a site's probes (http_status, category, error), where they come with its row."""
+    n = lambda test: F.size(F.filter(probes, test)).cast("long")
+    stopped = lambda x: blocked(x["http_status"])
+    refused = lambda x: x["http_status"].isNull() | stopped(x)
+    of = lambda c, more=None: lambda x: (x["category"] == c) & more(x) if more else x["category"] == c
+    return F.struct(
+        F.size(probes).cast("long").alias("n"), n(stopped).alias("n_blocked"), n(lambda x: x["error"].isNotNull()).alias("n_errored"),
+        n(lambda x: stopped(x) | x["error"].isNotNull()).alias("n_lost"),
+        *(n(of(c)).alias(f"n_{c}") for c in ("search", "training")),
+        *(n(of(c, refused)).alias(f"{c}_refused") for c in ("search", "training")),
+    )
+
+
+def with_anomaly(counted: DataFrame) -> DataFrame:
+    """Adds anomaly and reason to rows of counts."""
     uniform = ((F.col("n_blocked") + F.col("n_errored")) == F.col("n")) | ((F.col("n_blocked") == 0) & (F.col("n_errored") == 0))
     search = (F.col("search_refused") > 0) & (F.col("training_refused") == 0)
     training = (F.col("training_refused") > 0) & (F.col("search_refused") == 0)
     partial = (F.col("n_blocked") > 0) & (F.col("n_blocked") < F.col("n"))
     reason = (
-        F.when(uniform, "uniform result across all bot UAs — no geo verification needed")
-        .when(search, F.format_string("search bots blocked (%d/%d) but training bots allowed", "search_refused", "n_search"))
-        .when(training, F.format_string("training bots blocked (%d/%d) but search bots allowed", "training_refused", "n_training"))
-        .when(partial, F.format_string("partial blocking: %d/%d bots blocked — possible UA-discriminating WAF", "n_blocked", "n"))
-        .otherwise("no significant anomaly detected")
+        F.when(uniform, d.UNIFORM)
+        .when(search, F.format_string(d.SEARCH_BLOCKED, "search_refused", "n_search"))
+        .when(training, F.format_string(d.TRAINING_BLOCKED, "training_refused", "n_training"))
+        .when(partial, F.format_string(d.PARTLY_BLOCKED, "n_blocked", "n"))
+        .otherwise(d.NO_ANOMALY)
     )
-    return counts(probes).select("*", (~uniform & (search | training | partial)).alias("anomaly"), reason.alias("reason"))
+    return counted.withColumns({"anomaly": ~uniform & (search | training | partial), "reason": reason})
+
+
+def anomaly(probes: DataFrame) -> DataFrame:
+    """page_id, anomaly, reason with the counts it rests on."""
+    return with_anomaly(counts(probes))
 
 
 def geo_difference(geo: DataFrame) -> DataFrame:
@@ -59,16 +79,28 @@ def regions(workers: list[str]) -> list[tuple[int, str, str]]:
     return [(i, region, url) for i, (region, url) in enumerate(zip(REGIONS, [w for w in workers if w], strict=False))]
 
 
+def skipped(anomaly: Column, enabled: bool, n_workers: int) -> Column:
+    """Why no region is asked; null where one is, and where asking is switched off, which needs no reason."""
+    return F.when(~anomaly, d.SKIPPED_CALM).when(F.lit(enabled and n_workers == 0), d.SKIPPED_NO_WORKER)
+
+
+def to_ask(anomalies: DataFrame, workers: list[str], enabled: bool = True) -> DataFrame:
+    """page_id, url, user_agent, region_ord, region, worker: what tier 2 asks, the probe crawler from each region, for sites with an anomaly."""
+    asked = regions(workers) if enabled else []
+    places = anomalies.sparkSession.createDataFrame(asked, "region_ord int, region string, worker string")
+    return anomalies.where("anomaly").select("page_id", "url", F.lit(PROBE_BOT).alias("user_agent")).crossJoin(F.broadcast(places))
+
+
 def escalation(anomalies: DataFrame, geo: DataFrame, enabled: bool = True, n_workers: int = 3) -> DataFrame:
     """page_id, tier_reached, geo_anomaly, skipped: regions are asked only for sites with an anomaly, all crawlers only where regions differ."""
     ask = F.col("anomaly") & F.lit(enabled and n_workers > 0)
     asked = geo.join(anomalies.where(ask).select("page_id"), "page_id", "left_semi")
     df = anomalies.select("page_id", "anomaly").join(geo_difference(asked), "page_id", "left")
     found = F.coalesce("geo_anomaly", F.lit(False))
-    skipped = F.when(~F.col("anomaly"), "no anomaly").when(F.lit(enabled and n_workers == 0), "no workers configured")
     return df.select(
-        "page_id", F.when(found, 3).when(ask, 2).otherwise(1).cast("long").alias("tier_reached"), found.alias("geo_anomaly"), skipped.alias("skipped")
-    )
+        "page_id", F.when(found, 3).when(ask, 2).otherwise(1).cast("long").alias("tier_reached"), found.alias("geo_anomaly"),
+        skipped(F.col("anomaly"), enabled, n_workers).alias("skipped"),
+    )
 
 
 def full_matrix(escalated: DataFrame, geo: DataFrame, bots: DataFrame) -> DataFrame:

@@ -14,16 +14,16 @@ N_SEARCH, N_TRAINING = len(d.SEARCH_BOTS), len(d.TRAINING_BOTS)
 ITEM = "array<struct<item_ord:int,label:string,earned:double,possible:double,reason:string>>"
 
 
-def access_facts(robots: DataFrame, ua_probe: DataFrame) -> DataFrame:
-    """Per site: allowed search and training crawlers, probes and those not lost. Both sides are combined by page_id before they join."""
-    allowed = robots.groupBy("page_id").agg(
-        *(F.count_if((F.col("category") == c) & F.col("allowed")).alias(f"{c}_allowed") for c in ("search", "training")),
-        *(
-            F.array_sort(F.collect_list(F.when((F.col("category") == c) & ~F.col("allowed"), F.struct("bot_ord", "user_agent")))).alias(f"{c}_denied")
-            for c in ("search", "training")
-        ),
-    )
-    return allowed.join(probes.counts(ua_probe), "page_id")
+def with_access_facts(sites: DataFrame) -> DataFrame:
+    """Adds allowed and denied crawlers by category, and the counts of probes, to rows with the arrays `bots` and `probes`."""
+    of = lambda c, more: F.filter("bots", lambda b: (b["category"] == c) & more(b))
+    out = {}
+    for c in ("search", "training"):
+        out[f"{c}_allowed"] = F.size(of(c, lambda b: b["allowed"])).cast("long")
+        out[f"{c}_denied"] = F.transform(of(c, lambda b: ~b["allowed"]), lambda b: b["user_agent"])
+    df = sites.withColumns(out | {"facts__": probes.facts(F.col("probes"))})
+    names = ("n", "n_blocked", "n_errored", "n_lost", "n_search", "n_training", "search_refused", "training_refused")
+    return df.withColumns({k: F.col("facts__")[k] for k in names}).drop("facts__")
 
 
 def _item(i: int, what: tuple[str, int], earned: Column, reason: Column) -> Column:
@@ -34,7 +34,7 @@ def _item(i: int, what: tuple[str, int], earned: Column, reason: Column) -> Colu
 
 
 def _names(denied: str, head: str) -> Column:
-    listed = F.array_join(F.transform(denied, lambda x: x["user_agent"]), ", ")
+    listed = F.array_join(denied, ", ")
     return F.when(F.size(denied) > 0, F.concat(F.lit(head), listed)).otherwise("")
 
 
@@ -43,11 +43,11 @@ def access_items() -> list[Column]:
     s, t, n, lost = F.col("search_allowed"), F.col("training_allowed"), F.col("n"), F.col("n_lost")
     ok = n - lost
     return [
-        _item(0, d.SEARCH, F.round(s * d.SEARCH[1] / N_SEARCH, 1), F.concat(s.cast("string"), F.lit(f"/{N_SEARCH} search bots allowed in robots.txt"), _names("search_denied", ". Blocked: "))),
-        _item(1, d.TRAINING, F.round(t * d.TRAINING[1] / N_TRAINING, 1), F.concat(t.cast("string"), F.lit(f"/{N_TRAINING} training bots allowed; blocking them is the site's choice."), _names("training_denied", " Blocked: "))),
-        _item(2, d.UA_BLOCKING, F.when(n > 0, F.round(ok * d.UA_BLOCKING[1] / n, 1)).otherwise(0.0), F.format_string("%d/%d bots received non-blocking HTTP response", ok, n)),
-        _item(3, d.SITEMAP, F.when(F.col("sitemap_exists"), d.SITEMAP[1]).otherwise(0), F.when(F.col("sitemap_exists"), F.format_string("sitemap.xml with %d URLs", "url_count")).otherwise("No sitemap.xml found")),
-        _item(4, d.LLMS_TXT, F.when(F.col("llms_exists"), d.LLMS_TXT[1]).otherwise(0), F.when(F.col("llms_exists"), "llms.txt found").otherwise("No llms.txt found")),
+        _item(0, d.SEARCH, half_even_1(s * d.SEARCH[1] / N_SEARCH), F.concat(s.cast("string"), F.lit(f"/{N_SEARCH} search bots allowed in robots.txt"), _names("search_denied", ". Blocked: "))),
+        _item(1, d.TRAINING, half_even_1(t * d.TRAINING[1] / N_TRAINING), F.concat(t.cast("string"), F.lit(f"/{N_TRAINING} training bots allowed; blocking them is the site's choice."), _names("training_denied", " Blocked: "))),
+        _item(2, d.UA_BLOCKING, F.when(n > 0, half_even_1(ok * d.UA_BLOCKING[1] / n)).otherwise(0.0), F.format_string("%d/%d bots received non-blocking HTTP response", ok, n)),
+        _item(3, d.SITEMAP, F.when(F.col("sitemap.exists"), d.SITEMAP[1]).otherwise(0), F.when(F.col("sitemap.exists"), F.format_string("sitemap.xml with %d URLs", F.col("sitemap.url_count"))).otherwise("No sitemap.xml found")),
+        _item(4, d.LLMS_TXT, F.when(F.col("llms.exists"), d.LLMS_TXT[1]).otherwise(0), F.when(F.col("llms.exists"), "llms.txt found").otherwise("No llms.txt found")),
     ]
 
 
@@ -75,10 +75,33 @@ def judgment_items() -> list[Column]:
     for i, what, col in ((10, d.QUALITY, "quality"), (11, d.CITATION, "citation")):
         score = F.col(f"{col}.score")
         reason = F.when(score.isNotNull(), F.concat(F.lit(f"{col} "), F.col(f"{col}.label"))).otherwise("No judgment available")
-        out.append(_item(i, what, F.coalesce(F.round(score * what[1], 1), F.lit(0.0)), reason))
+        out.append(_item(i, what, F.coalesce(half_even_1(score * what[1]), F.lit(0.0)), reason))
     return out
 
 
+def evidence_items() -> Column:
+    """What each item of breakdown() rests on, in the same order, as variants: their shapes differ."""
+    v = lambda *cols: F.to_variant_object(F.struct(*cols))
+    by_bot = lambda bots, key, value: F.map_from_arrays(F.transform(bots, lambda b: b[key]), F.transform(bots, value))
+    of = lambda c: F.filter("bots", lambda b: b["category"] == c)
+    allowed = lambda c: F.transform(F.filter(of(c), lambda b: b["allowed"]), lambda b: b["user_agent"])
+    lost = F.filter("probes", lambda p: probes.blocked(p["http_status"]) | p["error"].isNotNull())
+    stopped = lambda c: F.transform(F.filter(lost, lambda p: p["category"] == c), lambda p: p["user_agent"])
+    access = [
+        v(allowed("search").alias("allowed"), F.col("search_denied").alias("blocked"),
+          by_bot(of("search"), "user_agent", lambda b: F.struct(b["allowed"].alias("allowed"), b["paths"].alias("disallowed_paths"))).alias("per_bot")),
+        v(allowed("training").alias("allowed"), F.col("training_denied").alias("blocked")),
+        v(F.transform(lost, lambda p: p["user_agent"]).alias("blocked"), stopped("search").alias("blocked_search"), stopped("training").alias("blocked_training"),
+          by_bot(F.col("probes"), "user_agent", lambda p: F.struct(p["http_status"].alias("status"), probes.blocked(p["http_status"]).alias("blocked"), p["error"].alias("error"))).alias("per_bot")),
+        v("sitemap.exists", "sitemap.url", "sitemap.url_count", "sitemap.source"),
+        v("llms.exists", "llms.url", "llms.note"),
+    ]
+    structure = [v("present", "types", "malformed", "schema_count"), v("description"), v("og_title", "og_description"), v("h1_count"), v(F.col("hierarchy_issues").alias("issues"))]
+    tail = [v("quality.score", "quality.label", "quality.reasoning"), v("citation.score", "citation.label", "citation.reasoning")]
+    middle = F.when(F.col("noindex"), F.array(v("robots_meta"))).otherwise(F.array(*structure))
+    return F.concat(F.array(*access), middle, F.array(*tail))
+
+
 def breakdown(signals: DataFrame) -> DataFrame:
     """signals with the array items, in order of the report."""
     head, tail = F.array(*access_items()).cast(ITEM), F.array(*judgment_items()).cast(ITEM)
@@ -86,8 +109,12 @@ def breakdown(signals: DataFrame) -> DataFrame:
 
 
 def long_breakdown(scored: DataFrame) -> DataFrame:
-    """One row per site and component."""
-    return scored.select("page_id", F.explode("items").alias("x")).select("page_id", "x.*")
+    """One row per site and component.
+
+    An outer explode, as a plain one would have the optimiser compute the
+    items, and so read the page, once more to see that there are any.
+    """
+    return scored.select("page_id", F.explode_outer("items").alias("x")).select("page_id", "x.*")
 
 
 def verdict(total: Column) -> Column:
@@ -107,16 +134,18 @@ def totals(scored: DataFrame) -> DataFrame:
     last: below two of five search crawlers the total is capped at 45, below
     three it loses 15 %.
     """
-    df = scored.withColumn("llm_available", _earned(10, 11) > 0)
-    rules = F.least(_earned(0, 9), F.lit(float(d.RULE_POINTS)))
-    raw = F.when(F.col("llm_available"), F.round(F.least(_earned(0, 11), F.lit(float(d.ALL_POINTS))), 1)).otherwise(F.round(rules / d.RULE_POINTS * 100, 1))
+    rule_points = F.least(_earned(0, 9), F.lit(float(d.RULE_POINTS)))
+    sums = {"llm_available": _earned(10, 11) > 0, "rules__": rule_points, "all__": F.least(_earned(0, 11), F.lit(float(d.ALL_POINTS)))}
+    df = scored.withColumns(sums)
+    rules = F.col("rules__")
+    raw = F.when(F.col("llm_available"), half_even_1(F.col("all__"))).otherwise(half_even_1(rules / d.RULE_POINTS * 100))
     df = df.withColumn("raw_total", raw)
     k = F.col("search_allowed")
     gated = F.when(k * 10 < 4 * N_SEARCH, F.least("raw_total", F.lit(45.0))).when(k * 10 < 6 * N_SEARCH, F.col("raw_total") * F.lit(0.85)).otherwise(F.col("raw_total"))
     share = F.concat(k.cast("string"), F.lit(f"/{N_SEARCH} AI search/answer bots can access this site ("), percent(k, N_SEARCH), F.lit(")."))
-    reason = F.when(k * 10 < 4 * N_SEARCH, F.concat(F.lit("Score capped at 45: only "), share)).when(k * 10 < 6 * N_SEARCH, F.concat(F.lit("Score reduced 15%: only "), share))
+    reason = F.when(k * 10 < 4 * N_SEARCH, F.concat(F.lit(d.CAPPED), share)).when(k * 10 < 6 * N_SEARCH, F.concat(F.lit(d.REDUCED), share))
     df = df.withColumn("gated", gated)
-    df = df.withColumn("total", half_even_1(F.col("gated"))).drop("gated")
+    df = df.withColumn("total", half_even_1(F.col("gated"))).drop("gated", "rules__", "all__")
     return df.select(
         "*", F.when(F.col("llm_available"), float(d.ALL_POINTS)).otherwise(float(d.RULE_POINTS)).alias("max_possible"),
         (k * 10 < 6 * N_SEARCH).alias("gate_applied"), reason.alias("gate_reason"), verdict(F.col("total")).alias("verdict"),
@@ -142,6 +171,6 @@ def issue_list() -> Column:
 
 def issues(scored: DataFrame) -> DataFrame:
     """One row per site and issue, with its rank from 1."""
-    df = scored.select("page_id", F.posexplode(issue_list()).alias("pos", "x"))
+    df = scored.select("page_id", F.posexplode_outer(issue_list()).alias("pos", "x")).where("pos IS NOT NULL")
     return df.select("page_id", (F.col("pos") + 1).cast("long").alias("rank"), "x.severity", "x.title", "x.detail", "x.points_lost", "x.fix")
 

@@ -1,173 +1,109 @@
-"""Head and heading signals of a page, by expressions over its source; JSON-LD parses strictly, in Arrow batches."""
+"""Head and heading signals of a page."""
 
 from __future__ import annotations
 
-import json
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import text as txt
 from ..functions import url as urls
-
-_LD = r"(?is)<script\b[^>]*type=\x22application/ld\+json\x22[^>]*>(.*?)</script"
-
-
-def _types(item: object) -> list[str]:
-    if not isinstance(item, dict) or "@type" not in item:
-        return []
-    own = item["@type"]
-    return [str(t) for t in own] if isinstance(own, list) else [str(own)]
-
-
-_BLOCKS = T.StructType(
-    [T.StructField("malformed", T.BooleanType()), T.StructField("schema_count", T.LongType()), T.StructField("types", T.ArrayType(T.StringType()))]
-)
-
-
-@F.pandas_udf(_BLOCKS)
-def _read_blocks(blocks: pd.Series) -> pd.DataFrame:
-    """Strict JSON: a block that fails marks the page and counts for nothing; blank ones are skipped."""
-    rows = []
-    for own in blocks:
-        malformed, schemas, types = False, 0, set()
-        for raw in own if own is not None else ():
-            if not raw.strip():
-                continue
-            try:
-                data = json.loads(raw)
-            except ValueError:
-                malformed = True
-                continue
-            if isinstance(data, list):
-                schemas += len(data)
-                types.update(t for item in data for t in _types(item))
-            elif isinstance(data, dict):
-                schemas += 1
-                graph = data.get("@graph")
-                types.update(t for item in graph for t in _types(item)) if isinstance(graph, list) else types.update(_types(data))
-        rows.append((malformed, schemas, sorted(types)))
-    return pd.DataFrame(rows, columns=["malformed", "schema_count", "types"])
+from ..sources import dimensions as d
+from . import page
 
 
 def json_ld(pages: DataFrame) -> DataFrame:
-    """page_id, present, malformed, schema_count, types (sorted). Only the blocks cross to Python, and only of pages that have one."""
-    blocks = F.regexp_extract_all("html", F.lit(_LD), F.lit(1))
-    df = pages.select("page_id", blocks.alias("blocks"))
-    with_some = df.where(F.size("blocks") > 0).select("page_id", _read_blocks("blocks").alias("x"))
-    without = df.where(F.coalesce(F.size("blocks"), F.lit(0)) <= 0).select(
-        "page_id", F.lit(False).alias("present"), F.lit(False).alias("malformed"), F.lit(0).cast("long").alias("schema_count"),
-        F.array().cast("array<string>").alias("types"),
-    )
-    return with_some.select("page_id", F.lit(True).alias("present"), "x.malformed", "x.schema_count", "x.types").unionByName(without)
-
-
-def _tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
-
+    """page_id, present, malformed, schema_count, types (sorted) of a page's blocks of strict JSON-LD."""
+    return page.with_head(pages).select("page_id", *(F.col("head")[c].alias(c) for c in ("present", "malformed", "schema_count", "types")))
 
-def _attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute: null without it, '' if it is empty."""
-    has = tag.rlike(rf"(?is)\s{name}\s*=")
-    quoted = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(?:\x22([^\x22]*)\x22|'[^']*'|[^\s>]+)", 1)
-    single = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*'([^']*)'", 1)
-    bare = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*([^\s\x22'>]+)", 1)
-    return F.when(has, F.concat(quoted, single, bare))
 
-
-def _first_meta(tags: str, attribute: str, value: str) -> Column:
-    own = F.filter(F.col(tags), lambda t: F.lower(F.trim(_attribute(t, attribute))) == value)
-    first = F.get(own, F.lit(0))
-    return F.when(first.isNotNull(), txt.unescape_html(F.coalesce(_attribute(first, "content"), F.lit(""))))
+def _robots_flag(head: Column, word: str) -> Column:
+    return F.contains(F.lower(F.coalesce(head["robots_meta"], F.lit(""))), F.lit(word))
 
 
 def meta_tags(pages: DataFrame) -> DataFrame:
-    """One row a page: title, description, og_*, robots_meta, canonical, noindex, noarchive, all from one pass over its tags.
+    """One row a page: title, description, og_*, robots_meta, canonical, noindex, noarchive.
 
     An absent tag gives null, one without content ''.
     """
-    df = pages.select(
-        "page_id", "url", _tags(F.col("html"), "meta").alias("meta"), _tags(F.col("html"), "link").alias("link"),
-        F.col("html").rlike(r"(?is)<title\b").alias("titled"), F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1).alias("title"),
-    )
-    canonical = F.get(F.filter("link", lambda t: F.lower(_attribute(t, "rel")) == "canonical"), F.lit(0))
-    robots = _first_meta("meta", "name", "robots")
-    return df.select(
-        "page_id", "url", F.when(F.col("titled"), F.trim(txt.unescape_html(F.col("title")))).alias("title"),
-        _first_meta("meta", "name", "description").alias("description"),
-        _first_meta("meta", "property", "og:title").alias("og_title"),
-        _first_meta("meta", "property", "og:description").alias("og_description"),
-        _first_meta("meta", "property", "og:image").alias("og_image"),
-        F.when(canonical.isNotNull(), F.trim(F.coalesce(_attribute(canonical, "href"), F.lit("")))).alias("canonical"),
-        robots.alias("robots_meta"),
-    ).withColumns({k: F.contains(F.lower(F.coalesce("robots_meta", F.lit(""))), F.lit(k)) for k in ("noindex", "noarchive")})
+    head = F.col("head")
+    tags = ("title", "description", "og_title", "og_description", "og_image", "canonical", "robots_meta")
+    return page.with_head(pages).select(
+        "page_id", "url", *(head[c].alias(c) for c in tags), *(_robots_flag(head, w).alias(w) for w in ("noindex", "noarchive"))
+    )
 
 
 def canonical_check(meta: DataFrame) -> DataFrame:
-    """page_id, present, self_referential (null if absent), canonical_url, page_url."""
+    """page_id, present, self_referential (null if absent), canonical_url, page_url; a link without href is there, with ''."""
     c = F.col("canonical")
-    present = F.coalesce(c != "", F.lit(False))
     return meta.select(
-        "page_id", present.alias("present"), F.when(present, urls.canonical(c) == urls.canonical(F.col("url"))).alias("self_referential"),
-        F.when(present, c).alias("canonical_url"), F.col("url").alias("page_url"),
+        "page_id", c.isNotNull().alias("present"), F.when(c.isNotNull(), urls.canonical(c) == urls.canonical(F.col("url"))).alias("self_referential"),
+        c.alias("canonical_url"), F.col("url").alias("page_url"),
     )
 
 
-def heading_list(html: Column) -> Column:
-    """(tag, text) of every heading in order; texts without tags, entities decoded, cut to 120 characters."""
-    pattern = r"(?is)<(h[1-6])\b[^>]*>(.*?)</h[1-6]"
-    names = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    texts = F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
-    return F.zip_with(
-        names, texts,
-        lambda n, t: F.struct(F.lower(n).alias("tag"), F.left(F.trim(txt.unescape_html(F.regexp_replace(t, r"(?s)<[^>]*>", ""))), F.lit(120)).alias("text")),
-    )
-
-
-def headings(pages: DataFrame) -> DataFrame:
-    """page_id, has_h1, h1_count, headings (first 20), hierarchy_issues (from all of them).
+def hierarchy_issues(levels: Column) -> Column:
+    """What is wrong with the order of headings.
 
     A level is out of place where it first stands if the level above hasn't
     stood before; each level is told once.
     """
-    df = pages.select("page_id", heading_list(F.col("html")).alias("all"))
-    df = df.withColumn("levels", F.transform("all", lambda h: F.substring(h["tag"], 2, 1).cast("int")))
-    h1 = F.size(F.filter("levels", lambda x: x == 1))
+    h1 = F.size(F.filter(levels, lambda x: x == 1))
     first = (
-        F.when(F.size("all") == 0, F.array(F.lit("No headings found — content structure is invisible to AI chunkers")))
-        .when(h1 == 0, F.array(F.lit("No H1 tag — AI crawlers rely on H1 as the primary topic signal")))
-        .when(h1 > 1, F.array(F.concat(F.lit("Multiple H1 tags ("), h1.cast("string"), F.lit(") — should have exactly one H1 per page"))))
+        F.when(F.size(levels) == 0, F.array(F.lit(d.NO_HEADINGS)))
+        .when(h1 == 0, F.array(F.lit(d.NO_H1)))
+        .when(h1 > 1, F.array(F.format_string(d.MANY_H1, h1)))
         .otherwise(F.array().cast("array<string>"))
     )
 
     def early(level: Column) -> Column:
-        above = F.array_position("levels", level - 1)
-        return (level > 1) & ((above == 0) | (above > F.array_position("levels", level)))
+        above = F.array_position(levels, level - 1)
+        return (level > 1) & ((above == 0) | (above > F.array_position(levels, level)))
 
     # array_distinct keeps the order in which levels first stand
-    skips = F.transform(
-        F.filter(F.array_distinct("levels"), early),
-        lambda x: F.concat(F.lit("H"), x.cast("string"), F.lit(" appears before H"), (x - 1).cast("string"), F.lit(" — broken heading hierarchy")),
-    )
-    return df.select(
-        "page_id", (h1 > 0).alias("has_h1"), h1.cast("long").alias("h1_count"), F.slice("all", 1, 20).alias("headings"),
-        F.concat(first, skips).alias("hierarchy_issues"),
-    )
+    skips = F.transform(F.filter(F.array_distinct(levels), early), lambda x: F.format_string(d.EARLY_LEVEL, x, x - 1))
+    return F.concat(first, skips)
 
 
-def check(pages: DataFrame) -> DataFrame:
-    """All structure signals of a page in one row; a failed fetch (null or empty html) has none and no hierarchy issues."""
-    failed = F.coalesce(F.length("html") == 0, F.lit(True))
-    ld = json_ld(pages).select("page_id", "present", "malformed", "schema_count", "types")
-    heads = headings(pages).select("page_id", "has_h1", "h1_count", "headings", "hierarchy_issues")
-    lost = pages.select("page_id", failed.alias("failed"))
+def headings(pages: DataFrame) -> DataFrame:
+    """page_id, has_h1, h1_count, headings (first 20), hierarchy_issues (from all of them)."""
+    df = page.with_head(pages).select("page_id", F.col("head.levels").alias("levels"), F.col("head.headings").alias("headings"))
+    h1 = F.size(F.filter("levels", lambda x: x == 1))
+    return df.select("page_id", (h1 > 0).alias("has_h1"), h1.cast("long").alias("h1_count"), "headings", hierarchy_issues(F.col("levels")).alias("hierarchy_issues"))
+
+
+def with_signals(df: DataFrame) -> DataFrame:
+    """Adds all structure signals to rows with `head` and `failed`; a failed fetch has none and no hierarchy issues."""
+    head = F.col("head")
+    names = [c for c in ("present", "malformed", "schema_count", "types", "title", "description", "og_title", "og_description", "og_image", "canonical", "robots_meta")]
     none = F.array().cast("array<string>")
-    joined = meta_tags(pages).join(ld, "page_id").join(heads, "page_id").join(lost, "page_id")
-    return joined.withColumn("hierarchy_issues", F.when(F.col("failed"), none).otherwise(F.col("hierarchy_issues")))
+    h1 = F.size(F.filter(head["levels"], lambda x: x == 1)).cast("long")
+    return df.withColumns({
+        **{c: head[c] for c in names},
+        **{w: _robots_flag(head, w) for w in ("noindex", "noarchive")},
+        "h1_count": h1, "has_h1": h1 > 0, "headings": head["headings"],
+        "hierarchy_issues": F.when(F.col("failed"), none).otherwise(hierarchy_issues(head["levels"])),
+    })
 
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+def check(pages: DataFrame) -> DataFrame:
+    """All structure signals of a page in one row, from one pass over its markup and without a shuffle."""
+    return with_signals(page.with_head(pages)).drop("html", "head")
+
+
+def evidence() -> Column:
+    """What a report keeps of the structure checks, from the columns of with_signals and url."""
+    cut = lambda c: F.left(F.nullif(F.col(c), F.lit("")), F.lit(200))
+    canonical = F.col("canonical")
+    own = F.when(canonical.isNotNull(), urls.canonical(canonical) == urls.canonical(F.col("url")))
+    return F.struct(
+        F.struct("present", "types", "schema_count", "malformed").alias("json_ld"),
+        F.struct(
+            "title", cut("description").alias("description"), "og_title", cut("og_description").alias("og_description"), "og_image",
+            "canonical", "robots_meta", "noindex", "noarchive",
+        ).alias("meta"),
+        F.struct(
+            "has_h1", "h1_count", F.size("headings").alias("total_headings"), "hierarchy_issues", F.slice("headings", 1, 5).alias("sample"),
+        ).alias("headings"),
+        F.struct(
+            canonical.isNotNull().alias("present"), own.alias("self_referential"), canonical.alias("canonical_url"), F.col("url").alias("page_url"),
+        ).alias("canonical"),
+    )

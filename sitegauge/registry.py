@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .functions import text, url
-from .operators import content, history, judgment, probes, report, robots, scoring, sitemap, structure
+from .operators import content, history, judgment, page, probes, report, robots, scoring, sitemap, structure
 from .plans import analyze
 from .sources.dimensions import bots
 from .sources.site_views import Site
@@ -31,7 +31,7 @@ def _long(*names: str) -> list:
 def _url_variants(s: Site) -> DataFrame:
     return s.ids().withColumn(
         "raw",
-        F.expr("CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('  ', replace(replace(url, 'https://', ''), 'http://', '')) WHEN 2 THEN upper(url) ELSE concat(url, '?a=1+2/') END"),
+        F.expr("CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat(' \t', replace(replace(url, 'https://', ''), 'http://', ''), '\n') WHEN 2 THEN upper(url) ELSE concat(url, '?a=1+2/') END"),
     )
 
 
@@ -90,20 +90,20 @@ def robots_sitemaps(s: Site) -> DataFrame:
 
 @query
 def robots_evidence(s: Site) -> DataFrame:
-    return robots.evidence(s.robots_txt()).withColumn("status", F.col("status").cast("long"))
+    df = robots.evidence(s.robots_txt()).withColumn("http_status", F.col("http_status").cast("long"))
+    return df.withColumns({c: F.array_join(c, "|") for c in ("sitemap_directives", "bots_checked")})
 
 
 @query
 def sitemap_check(s: Site) -> DataFrame:
-    named = robots.sitemap_directives(s.robots_txt()).groupBy("page_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "sitemap_url"))), lambda x: x["sitemap_url"]).alias("directives")
-    )
-    return sitemap.check(s.ids().join(named, "page_id", "left"), s.site_files())
+    rules = s.robots_txt()
+    sites = rules.select("page_id", "url", robots.directives(F.col("http_status"), F.col("text")).alias("directives"))
+    return sitemap.check(sites, s.sitemap_fetch())
 
 
 @query
 def llms_txt(s: Site) -> DataFrame:
-    return sitemap.llms_txt(s.site_files())
+    return sitemap.llms_txt(s.llms_fetch())
 
 
 @query
@@ -139,7 +139,7 @@ def heading_issues(s: Site) -> DataFrame:
 
 @query
 def js_bundles(s: Site) -> DataFrame:
-    return s.site_html().select("page_id", F.posexplode(content.bundles(F.col("html"))).alias("pos", "src")).withColumn("pos", F.col("pos").cast("long"))
+    return content.bundles(s.site_html()).select("page_id", F.posexplode("bundles").alias("pos", "src")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query
@@ -147,12 +147,14 @@ def main_content(s: Site) -> DataFrame:
     return content.extract(s.site_html()).select("page_id", "body_word_count", "fallback")
 
 
+@query
+def main_content_plain(s: Site) -> DataFrame:
+    return content.extract(s.plain_html())
+
+
 @query
 def spa_flag(s: Site) -> DataFrame:
-    pages = s.site_html()
-    words = content.extract(pages).select("page_id", "body_word_count")
-    has = pages.select("page_id", (F.size(content.bundles(F.col("html"))) > 0).alias("has_bundles"))
-    return words.join(has, "page_id").withColumn("likely_spa", content.likely_spa(F.col("body_word_count"), F.col("has_bundles")))
+    return content.check(s.plain_html()).select("page_id", "body_word_count", "has_bundles", "likely_spa", "error")
 
 
 @query
@@ -176,6 +178,15 @@ def tier3_matrix(s: Site) -> DataFrame:
     return probes.full_matrix(tiers, s.geo_probe(), bots(s.spark)).select("page_id", *_long("region_ord"), "region", *_long("bot_ord"), "user_agent")
 
 
+@query
+def tier_skips(s: Site) -> DataFrame:
+    """The same sites with asking on, on without workers, and off."""
+    anomalies = probes.anomaly(s.ua_probe())
+    modes = [("on", True, 3), ("no worker", True, 0), ("off", False, 3)]
+    parts = [probes.escalation(anomalies, s.geo_probe(), on, n).withColumn("mode", F.lit(mode)) for mode, on, n in modes]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def llm_quality_parse(s: Site) -> DataFrame:
     return s.llm_raw().select("page_id", judgment.parse_quality(F.col("quality_raw")).alias("x")).select("page_id", "x.*")
@@ -212,66 +223,139 @@ def llm_cache_ttl(s: Site) -> DataFrame:
     return found.select("cache_key", "score", "cached")
 
 
+@query
+def llm_citation_key(s: Site) -> DataFrame:
+    df = structure.with_signals(page.with_all(s.site_html()))
+    return df.select("page_id", judgment.citation_key(F.col("url"), F.col("description"), F.col("types"), F.col("main.words")).alias("cache_key"))
+
+
+def _judged(s: Site) -> DataFrame:
+    """Requests that a cache answers in part, fresh or stale, and a model for the rest, which fails for some."""
+    asked = s.ids().select("page_id", judgment.quality_key(F.col("url"), F.lit("text")).alias("cache_key"), judgment.quality_prompt(F.col("url"), F.lit("text")).alias("prompt"))
+    cache = asked.where("page_id % 5 < 2").select(
+        "cache_key", F.when(F.col("page_id") % 5 == 0, 90_000.0).otherwise(10.0).alias("created_at"), F.lit(0.8).alias("score"),
+        F.lit("high").alias("label"), F.lit("kept").alias("reasoning"), F.lit("model").alias("provider"),
+    )
+    replies = asked.join(s.llm_raw(), "page_id").select(
+        "cache_key", "quality_raw", F.when(F.col("page_id") % 13 == 0, F.repeat(F.lit("timeout "), F.lit(30))).alias("error")
+    )
+
+    def scorer(misses: DataFrame) -> DataFrame:
+        return misses.join(replies, "cache_key").select("cache_key", F.when(F.col("error").isNull(), F.col("quality_raw")).alias("raw"), "error")
+
+    return judgment.judge(asked, cache, F.lit(100_000.0), "content_quality", "model", True, scorer)
+
+
+@query
+def llm_judged(s: Site) -> DataFrame:
+    return _judged(s).select("page_id", "judgment.*")
+
+
+@query
+def llm_cache_writes(s: Site) -> DataFrame:
+    return judgment.to_cache(_judged(s), "content_quality", F.lit(100_000.0)).drop("id")
+
+
+@query
+def llm_unavailable(s: Site) -> DataFrame:
+    """Without a key, and switched off."""
+    asked = s.ids().select("page_id", F.lit("k").alias("cache_key"), F.lit("p").alias("prompt"))
+    provider = judgment.provider_of("groq", "")
+    parts = [judgment.judge(asked, asked, F.lit(0.0), "content_quality", provider, on).select("page_id", "judgment.*").withColumn("enabled", F.lit(on)) for on in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def llm_legacy_parse(s: Site) -> DataFrame:
+    raw = s.llm_raw()
+    quality = raw.select("page_id", F.lit("quality").alias("what"), judgment.legacy_quality(F.col("quality_raw")).alias("x"))
+    citation = raw.select("page_id", F.lit("citation").alias("what"), judgment.legacy_citation(F.col("citation_raw")).alias("x"))
+    return quality.unionByName(citation).select("page_id", "what", "x.*")
+
+
 @query
 def score_breakdown(s: Site) -> DataFrame:
-    return scoring.long_breakdown(scoring.breakdown(analyze.signals(s))).withColumn("item_ord", F.col("item_ord").cast("long"))
+    return scoring.long_breakdown(scoring.breakdown(analyze.signals(s.wide()))).withColumn("item_ord", F.col("item_ord").cast("long"))
 
 
 @query
 def score_total(s: Site) -> DataFrame:
-    return analyze.scored(s).select("page_id", "raw_total", "total", "max_possible", "llm_available", "gate_applied", "gate_reason", "verdict")
+    return analyze.scored(s.wide()).select("page_id", "raw_total", "total", "max_possible", "llm_available", "gate_applied", "gate_reason", "verdict")
 
 
 @query
 def issues_ranked(s: Site) -> DataFrame:
-    return scoring.issues(analyze.scored(s))
+    return scoring.issues(analyze.scored(s.wide()))
 
 
 @query
 def eligibility_report(s: Site) -> DataFrame:
-    return analyze.eligibility_report(s)
+    return analyze.eligibility_report(s.wide())
 
 
-def _per_bot(s: Site) -> DataFrame:
-    rules = s.robots_txt()
-    return report.per_bot(s.ids(), robots.access(rules), robots.disallowed_paths(rules), s.ua_probe(), bots(s.spark))
+def _sites(s: Site) -> DataFrame:
+    """Sites with their crawlers and probes; the markup is never read."""
+    return robots.with_access(s.wide(html=False))
 
 
 @query
 def per_bot_table(s: Site) -> DataFrame:
-    df = _per_bot(s).withColumn("bot_ord", F.col("bot_ord").cast("long"))
+    df = report.per_bot_rows(_sites(s)).withColumn("bot_ord", F.col("bot_ord").cast("long"))
     return df.withColumn("paths", F.array_join("disallowed_paths", "|")).drop("disallowed_paths")
 
 
 @query
 def top_paths(s: Site) -> DataFrame:
-    return report.top_paths(_per_bot(s)).withColumn("bot_ord", F.col("bot_ord").cast("long"))
+    return report.top_paths(report.per_bot_rows(_sites(s))).withColumn("bot_ord", F.col("bot_ord").cast("long"))
 
 
 @query
 def bot_summaries(s: Site) -> DataFrame:
-    return report.summaries(robots.access(s.robots_txt()))
+    return report.summaries(_sites(s))
 
 
 @query
 def fix_pack(s: Site) -> DataFrame:
-    return report.fix_pack(analyze.signals(s)).select("page_id", "filename", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
+    return report.fix_pack(analyze.signals(s.wide())).select("page_id", "filename", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
 
 
 @query
 def breakdown_pct(s: Site) -> DataFrame:
-    return report.breakdown_percent(scoring.long_breakdown(scoring.breakdown(analyze.signals(s))))
+    return report.breakdown_percent(scoring.long_breakdown(scoring.breakdown(analyze.signals(s.wide()))))
+
+
+def _report(s: Site) -> DataFrame:
+    tiers = probes.escalation(probes.anomaly(s.ua_probe()), s.geo_probe()).select("page_id", "tier_reached", "geo_anomaly")
+    asked = s.geo_probe().groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("region_ord", "region", "status"))).alias("geo"))
+    wide = s.wide().join(tiers, "page_id").join(asked, "page_id").withColumn("tier3", F.lit(None).cast("array<string>"))
+    return report.as_json(analyze.scored(wide, whole=True), F.lit("2025-01-01T00:00:00+00:00"), F.lit(0))
+
+
+#: Fields of a report, by path, that its query shows.
+REPORT_FIELDS = {
+    "score": "$.score.total", "first_item": "$.score.breakdown[0].label", "first_evidence": "$.score.breakdown[0].evidence.allowed[0]",
+    "third_status": "$.score.breakdown[2].evidence.per_bot.GPTBot.status", "first_issue": "$.score.issues[0].title",
+    "gate_reason": "$.score.gate_reason", "bot": "$.per_bot_table[6].bot_name", "bot_allowed": "$.per_bot_table[6].robots_allowed",
+    "training": "$.training_bots_summary", "search": "$.search_bots_summary", "robots_status": "$.raw_evidence.access.robots.http_status",
+    "parse_note": "$.raw_evidence.access.robots.parse_note", "sitemap_source": "$.raw_evidence.access.sitemap.source",
+    "llms_content": "$.raw_evidence.access.llms_txt.has_content", "spoof_blocked": "$.raw_evidence.access.ua_spoof[0].blocked",
+    "ld_types": "$.raw_evidence.structure.json_ld.types", "meta_title": "$.raw_evidence.structure.meta.title",
+    "n_headings": "$.raw_evidence.structure.headings.total_headings", "canonical": "$.raw_evidence.structure.canonical.canonical_url",
+    "words": "$.raw_evidence.content.body_word_count", "quality_label": "$.raw_evidence.content.llm.label",
+    "tier1": "$.raw_evidence.empirical.tier1.anomaly_reason", "tier2_skipped": "$.raw_evidence.empirical.tier2.reason",
+    "tier2_geo": "$.raw_evidence.empirical.tier2.geo_anomaly_detected", "citation_label": "$.raw_evidence.empirical.llm_citation.label",
+    "flat_reason": "$.raw_evidence.score_breakdown[1].reason", "first_file": "$.fix_pack[0].filename", "duration": "$.analysis_duration_ms",
+}
 
 
 @query
 def report_json(s: Site) -> DataFrame:
-    scored = analyze.scored(s).withColumn("issues", scoring.issue_list())
-    return report.as_json(scored, _per_bot(s), report.fix_pack(scored), F.lit("2025-01-01T00:00:00+00:00"))
+    return _report(s).select("page_id", "verdict", *(F.get_json_object("report", path).alias(name) for name, path in REPORT_FIELDS.items()))
 
 
 @query
 def content_report(s: Site) -> DataFrame:
-    return content.check(s.site_html())
+    return content.check(s.plain_html()).withColumn("bundles", F.array_join("bundles", "|"))
 
 
 @query

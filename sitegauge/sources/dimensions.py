@@ -44,6 +44,26 @@ FIXES = {
     H1[0]: "Give the page exactly one h1, its main topic.",
     HIERARCHY[0]: "Let heading levels follow each other without gaps.",
 }
+#: What checks say; reports are compared and searched by these sentences.
+NO_HEADINGS = "No headings found — content structure is invisible to AI chunkers"
+NO_H1 = "No H1 tag — AI crawlers rely on H1 as the primary topic signal"
+MANY_H1 = "Multiple H1 tags (%d) — should have exactly one H1 per page"
+EARLY_LEVEL = "H%d appears before H%d — broken heading hierarchy"
+UNIFORM = "uniform result across all bot UAs — no geo verification needed"
+SEARCH_BLOCKED = "search bots blocked (%d/%d) but training bots allowed"
+TRAINING_BLOCKED = "training bots blocked (%d/%d) but search bots allowed"
+PARTLY_BLOCKED = "partial blocking: %d/%d bots blocked — possible UA-discriminating WAF"
+NO_ANOMALY = "no significant anomaly detected"
+CAPPED, REDUCED = "Score capped at 45: only ", "Score reduced 15%: only "
+PAGE_FAILED = "unavailable — page fetch failed"
+NO_ROBOTS = "robots.txt absent or unreadable — treating as default-allow"
+NOT_PARSED, NO_REASON = "Could not parse LLM response", "No reasoning provided"
+#: What else reports say; our own wording.
+EMPTY_PAGE = "the page came back empty"
+RENDER_OFF, RENDER_FAILED = "the page looks like an application, but rendering is not enabled", "rendering failed: "
+LLMS_NOTE = "A forward-looking signal; no provider has confirmed that it reads this file."
+SKIPPED_CALM, SKIPPED_NO_WORKER = "no anomaly among crawlers, so no region was asked", "an anomaly among crawlers, but no worker to ask from a region"
+JUDGE_OFF, JUDGE_NO_KEY, JUDGE_FAILED = "judgments are not enabled", "no key for the provider", "the call failed: "
 DEFAULT_FIX = "Take the template from the fix pack."
 
 

@@ -27,3 +27,13 @@ def upsert_cache(cache: DataFrame, new: DataFrame, path: str) -> None:
 def write_fix_pack(pack: DataFrame, path: str) -> None:
     """The files of every site as text, one folder for each file name."""
     pack.select("filename", F.concat(F.lit("== "), F.col("page_id").cast("string"), F.lit("\n"), "content").alias("value")).write.partitionBy("filename").text(path)
+
+
+HISTORY = "id BIGINT, url STRING, `timestamp` TIMESTAMP, score DOUBLE, verdict STRING, report STRING, day DATE"
+CACHE = "cache_key STRING, call_type STRING, score DOUBLE, label STRING, reasoning STRING, provider STRING, created_at DOUBLE, id BIGINT"
+
+
+def create_tables(spark: SparkSession, history: str = "history", cache: str = "llm_cache") -> None:
+    """The engine's tables in the warehouse, unless they are there: history by day, the cache bucketed by its key, which an upsert joins on."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {history} ({HISTORY}) USING parquet PARTITIONED BY (day)")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {cache} ({CACHE}) USING parquet CLUSTERED BY (cache_key) INTO 16 BUCKETS")

@@ -1,6 +1,7 @@
 """Operators on literal rows, and the robots plan against the standard library's parser."""
 
 import http.server
+import json
 import random
 import threading
 import urllib.robotparser
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from sitegauge.functions import text, url
 from sitegauge.functions.rounding import half_even_1
 from sitegauge.operators import content, history, judgment, probes, robots, scoring, sitemap, structure
+from sitegauge.operators import page as pages
+from sitegauge.options import Options
+from sitegauge.plans import live
 from sitegauge.sources import dimensions as d
 from sitegauge.sources import fetch, sinks
 from sitegauge.streaming import history as streams
@@ -22,7 +26,7 @@ def one(spark, schema, row, *cols):
 
 def test_urls(spark):
     u = F.col("u")
-    rows = spark.createDataFrame([(" a.example ",), ("http://b.example:80/x?q#f",), ("HTTPS://C.example",)], "u string")
+    rows = spark.createDataFrame([(" \t\u00a0a.example\n",), ("http://b.example:80/x?q#f",), ("HTTPS://C.example",)], "u string")
     got = [tuple(r) for r in rows.select(url.normalize(u), url.base(url.normalize(u))).collect()]
     assert got == [
         ("https://a.example", "https://a.example"),
@@ -38,6 +42,10 @@ def test_text(spark):
     rows = spark.createDataFrame([("a  b\nc ",), ("  ",), ("",), (None,)], "t string")
     assert [r[0] for r in rows.select(text.word_count(t)).collect()] == [3, 0, 0, 0]
     assert one(spark, "t string", ("x\r\ny\n\nz\n",), text.lines(t))[0] == ["x", "y", "", "z"]
+    ends = "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i\rj\n"
+    assert one(spark, "t string", (ends,), text.lines(t))[0] == ends.splitlines()
+    around = "\u3000\x1f a b \u2003\x85"
+    assert one(spark, "t string", (around,), text.strip(t))[0] == around.strip()
     assert one(spark, "t string", ("<a & b>",), text.escape_html(t))[0] == "&lt;a &amp; b&gt;"
 
 
@@ -49,14 +57,14 @@ def test_rounding_agrees_with_python(spark):
 
 def random_robots(rng):
     agents = ["*", "GPTBot", "Google", "Applebot", "bot", "Claude-SearchBot", "nobody"]
-    paths = ["/", "", "/p", "/private/", "/page", "*", "/q?x"]
+    paths = ["/", "", "/p", "/private/", "/page", "*", "/q?x", "/caf\u00e9", "/caf%C3%A9", "/%70age", "/x?", "/a b", "/~u"]
     lines = []
     for _ in range(rng.randint(0, 12)):
         lines.append(
             rng.choice(
                 [
-                    lambda: f"User-agent: {rng.choice(agents)}",
-                    lambda: f"{rng.choice(['Disallow', 'allow', 'DISALLOW'])}: {rng.choice(paths)}",
+                    lambda: f"User-agent:{rng.choice([' ', chr(9), ''])}{rng.choice(agents)}",
+                    lambda: f"{rng.choice(['Disallow', 'allow', 'DISALLOW', 'Disallow' + chr(9)])}:{rng.choice([' ', chr(9)])}{rng.choice(paths)}",
                     lambda: "",
                     lambda: f"Crawl-delay: {rng.choice(['5', '2.5', 'x', '10'])}",
                     lambda: "# note",
@@ -70,7 +78,7 @@ def random_robots(rng):
 
 def test_robots_like_the_standard_library(spark):
     rng = random.Random(3)
-    rows = [(i, f"https://h.example{rng.choice(['', '/', '/page', '/private/x', '/x'])}", 200, random_robots(rng)) for i in range(400)]
+    rows = [(i, f"https://h.example{rng.choice(['', '/', '/page', '/private/x', '/x', '/caf%C3%A9/1', '/caf\u00e9', '/a%20b', '/%7Eu', '/q?x=1'])}", 200, random_robots(rng)) for i in range(400)]
     got = {(r.page_id, r.bot_ord): (r.allowed, r.crawl_delay) for r in robots.access(spark.createDataFrame(rows, "page_id long, url string, http_status int, text string")).collect()}
     for i, u, _, body in rows:
         rp = urllib.robotparser.RobotFileParser()
@@ -96,12 +104,29 @@ def test_robots_defaults_paths_and_sitemaps(spark):
 
 
 def test_sitemap(spark):
-    body = "<urlset><url><lastmod> 2025-01-01 </lastmod></url><URL></URL><url a='1'/></urlset>"
-    sites = spark.createDataFrame([(1, "https://a.example/x", None), (2, "https://b.example", ["https://b.example/m.xml"]), (3, "https://c.example", None)], "page_id long, url string, directives array<string>")
-    fetched = spark.createDataFrame([(1, body), (2, body), (3, None)], "page_id long, sitemap_text string")
+    body = "<urlset><url><lastmod>\t2025-01-01 </lastmod></url><URL></URL><url a='1'/></urlset>"
+    sites = spark.createDataFrame(
+        [(1, "https://a.example/x", []), (2, "https://b.example", ["https://b.example/1.xml", "https://b.example/2.xml"]), (3, "https://c.example", [])],
+        "page_id long, url string, directives array<string>",
+    )
+    assert [tuple(r) for r in sitemap.requests(sites).where("page_id < 3").orderBy("page_id", "pos").collect()] == [
+        (1, 0, "https://a.example/sitemap.xml"), (2, 0, "https://b.example/1.xml"), (2, 1, "https://b.example/2.xml")
+    ]
+    fetched = spark.createDataFrame(
+        [(1, 0, 200, body, None), (2, 1, 200, body, None), (2, 0, 404, "no", None), (3, 0, None, None, "timeout after 10.0s")],
+        "page_id long, pos int, http_status int, text string, error string",
+    )
     got = {r.page_id: r for r in sitemap.check(sites, fetched).collect()}
     assert (got[1].url_count, got[1].last_modified, got[1].source, got[1].sitemap_url) == (2, "2025-01-01", "default-path", "https://a.example/sitemap.xml")
-    assert got[2].sitemap_url == "https://b.example/m.xml" and not got[3].sitemap_exists
+    assert got[2].sitemap_url == "https://b.example/2.xml" and got[2].source == "robots.txt"
+    assert (got[3].sitemap_exists, got[3].sitemap_url, got[3].source) == (False, None, "absent")
+
+
+def test_llms_txt(spark):
+    rows = [(1, "https://a.example/x", 200, "hi", None), (2, "https://a.example", 200, " \n", None), (3, "https://a.example", 200, "", None), (4, "https://a.example", 404, "no", None), (5, "https://a.example", None, None, "refused")]
+    got = sitemap.llms_txt(spark.createDataFrame(rows, "page_id long, url string, http_status int, text string, error string")).orderBy("page_id").collect()
+    assert [(r.llms_exists, r.has_content) for r in got] == [(True, True), (True, False), (False, False), (False, False), (False, False)]
+    assert {r.llms_url for r in got} == {"https://a.example/llms.txt"}
 
 
 def page(spark, html):
@@ -121,8 +146,9 @@ def page(spark, html):
     ],
 )
 def test_json_ld(spark, block, want):
-    r = structure.json_ld(page(spark, f'<head><script type="application/ld+json">{block}</script></head>')).collect()[0]
-    assert (r.present, r.malformed, r.schema_count, r.types) == want
+    for quoted in ('"application/ld+json"', "'application/ld+json'", "application/ld+json"):
+        r = structure.json_ld(page(spark, f"<head><!-- <script type={quoted}>7</script> --><script async type={quoted}>{block}</script></head>")).collect()[0]
+        assert (r.present, r.malformed, r.schema_count, r.types) == want
 
 
 def test_no_json_ld(spark):
@@ -136,38 +162,71 @@ def test_meta(spark):
     assert (r.title, r.description, r.og_title, r.og_description, r.canonical, r.noindex, r.noarchive) == ("A & B", "d", "x", None, "https://A.example", True, False)
     c = structure.canonical_check(structure.meta_tags(page(spark, html))).collect()[0]
     assert c.present and c.self_referential
+    odd = "<title>it&#39;s&nbsp;</title><!-- <title>no</title> --><link rel='nofollow canonical' href=''>"
+    c = structure.canonical_check(structure.meta_tags(page(spark, odd))).collect()[0]
+    assert (c.present, c.canonical_url, c.self_referential) == (True, "", False)
+    assert structure.meta_tags(page(spark, odd)).collect()[0].title == "it's"
     empty = structure.meta_tags(page(spark, "<meta name='description'>")).collect()[0]
     assert empty.description == "" and empty.title is None
 
 
 @pytest.mark.parametrize(
-    ("html", "n"), [("<h1>a</h1><h2>b</h2><h3>c</h3>", 0), ("<h1>a</h1><h3>c</h3><h3>d</h3>", 1), ("<h2>a</h2>", 2), ("", 1), ("<h1>a</h1><h1>b</h1>", 1), ("<h3>a</h3><h1>b</h1>", 1)]
+    ("html", "n"), [("<h1>a</h1><h2>b</h2><h3>c</h3>", 0), ("<h1>a</h1><h3>c</h3><h3>d</h3>", 1), ("<h2>a</h2>", 2), ("", 1), ("<h1>a</h1><h1>b</h1>", 1), ("<h3>a</h3><h1>b</h1>", 1), ("<h1>a</h1><!-- <h1>b</h1><h5>c</h5> -->", 0), ("<script>'<h1>x</h1>'</script><h1>a</h1>", 0)]
 )
 def test_heading_issues(spark, html, n):
     r = structure.headings(page(spark, html or "<p>")).collect()[0]
     assert len(r.hierarchy_issues) == n
 
 
+def test_heading_texts(spark):
+    r = structure.headings(page(spark, "<h1> A <b> b </b>&hellip; </h1><H2 class=x>" + "y" * 200 + "</H2>")).collect()[0]
+    assert [(h.tag, h.text) for h in r.headings] == [("h1", "Ab\u2026"), ("h2", "y" * 120)]
+
+
 def test_failed_page_has_no_hierarchy_issues(spark):
     assert structure.check(page(spark, None)).collect()[0].hierarchy_issues == []
     assert content.check(page(spark, None)).collect()[0].quality_label.startswith("unavailable")
 
 
+def main(html):
+    return pages.main_content(pages.Page(html, tree=True).root)
+
+
 def test_main_content():
     body = "word " * 40
-    assert content.main_content(f"<nav>x</nav><article><p>{body}<p>tail</article>") == ((body + "tail"), False)
-    assert content.main_content(f"<div class='sidebar'>no</div><div><p>{body}</p></div><p>x</p>") == (body.strip(), False)
-    assert content.main_content("<script>var a</script><b>hi</b> there") == ("hi there", True)
-    assert content.main_content("") == ("", True)
-    assert content.main_content("<main class='shadow'>a</main>") == ("a", False)
+    assert main(f"<nav>x</nav><article><p>{body}<p>tail</article>") == ((body + "tail"), False)
+    assert main(f"<div class='sidebar'>no</div><div><p>{body}</p></div><p>x</p>") == (body.strip(), False)
+    assert main("<script>var a</script><b>hi</b> there") == ("hi there", True)
+    assert main("") == ("", True)
+    assert main("<main class='shadow'>a</main>") == ("a", False)
+    assert main("<![if x]>a") is not None
 
 
 def test_bundles_and_spa(spark):
-    html = '<script src="/app.ab12.js"></script><script src="/jquery.js"></script><script async src="/x.chunk.js"></script>'
-    r = page(spark, html).select(content.bundles(F.col("html")).alias("b"), content.likely_spa(F.lit(99), F.lit(True)), content.likely_spa(F.lit(100), F.lit(True))).collect()[0]
+    html = "<script src='/app.ab12.js'></script><script src=/jquery.js></script><script async src=/x.chunk.js></script><!-- <script src='/bundle.js'></script> -->"
+    r = content.bundles(page(spark, html)).select("bundles", content.likely_spa(F.lit(99), F.lit(True)), content.likely_spa(F.lit(100), F.lit(True))).collect()[0]
     assert list(r) == [["/app.ab12.js", "/x.chunk.js"], True, False]
 
 
+def test_rendered_pages(spark):
+    app = "<div id=root></div><script src='/bundle.js'></script>"
+    rows = [(1, "u", app, "<main>" + "w " * 300 + "</main>", None), (2, "u", app, None, "no browser"), (3, "u", "<p>" + "x " * 300, "<p>unused", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, rendered_html string, render_error string")
+    got = {r.page_id: r for r in content.check(df, render=True).collect()}
+    assert (got[1].rendered_used, got[1].rendered_word_count, got[1].error) == (True, 300, None)
+    assert (got[2].rendered_used, got[2].rendered_word_count, got[2].error) == (True, None, "rendering failed: no browser")
+    assert (got[3].rendered_used, got[3].rendered_word_count, got[3].likely_spa) == (False, None, False)
+    assert content.check(df).where("page_id = 1").collect()[0].error == d.RENDER_OFF
+
+
+def test_markup_is_read_once(spark):
+    from sitegauge import registry
+
+    for name in ("eligibility_report", "issues_ranked", "score_breakdown", "fix_pack"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan, name
+
+
 def probe_rows(refused=(), failed=()):
     return [(1, o, ua, c, None if ua in failed else 403 if ua in refused else 200, "timeout" if ua in failed else None) for o, ua, c, _ in d.BOTS]
 
@@ -192,7 +251,7 @@ def test_escalation(spark):
     found = probes.anomaly(df)
     assert probes.escalation(found, geo).collect()[0].tier_reached == 3
     assert probes.escalation(found, geo, enabled=False).collect()[0].tier_reached == 1
-    assert probes.escalation(found, geo, n_workers=0).collect()[0].skipped == "no workers configured"
+    assert probes.escalation(found, geo, n_workers=0).collect()[0].skipped == d.SKIPPED_NO_WORKER
     assert probes.full_matrix(probes.escalation(found, geo), geo, d.bots(spark)).count() == 33
     assert probes.regions(["", "https://w"]) == [(0, "us", "https://w")]
 
@@ -206,19 +265,54 @@ def test_judgments(spark):
     assert [r[0][0] for r in rows.select(judgment.parse_citation(raw)).collect()] == [1.0, 0.5, None]
 
 
+def test_ratings_round_as_python_does(spark):
+    replies = [[*r] for n in range(1, 9) for r in {tuple(sorted(random.Random(s).choices(range(1, 6), k=n))) for s in range(60)}]
+    rows = [("\n".join(f"CITABILITY: {x}" for x in own), round((sum(own) / len(own) - 1) / 4, 3)) for own in replies]
+    df = spark.createDataFrame(rows, "r string, want double").select(judgment.parse_quality(F.col("r"))["score"].alias("got"), "want")
+    assert df.where("got <> want").collect() == []
+
+
+def test_legacy_parsers(spark):
+    rows = spark.createDataFrame([("READABILITY: 9\nREASONING:",), ("no",), (None,)], "r string")
+    got = [r[0] and tuple(r[0]) for r in rows.select(judgment.legacy_quality(F.col("r"))).collect()]
+    assert got == [(2.0, "high", ""), (0.5, "medium", "Could not parse LLM response"), None]
+    assert one(spark, "r string", ("CITATION_LIKELIHOOD: 4",), judgment.legacy_citation(F.col("r")))[0][0] == 0.75
+
+
+def test_options():
+    env = {"ENABLE_LLM": "True", "LLM_PROVIDER": "Groq", "GROQ_API_KEY": "", "GEO_WORKER_URL_EU": "https://w", "GEO_WORKER_URL_US": ""}
+    o = Options.from_env(env)
+    assert (o.enable_llm, o.provider, o.workers, o.enable_geo) == (True, "mock", ("https://w",), False)
+    assert Options.from_env(env | {"GROQ_API_KEY": "hush"}).provider == "groq" and "hush" not in repr(Options(llm_keys={"groq": "hush"}))
+
+
+CACHE = "id long, cache_key string, created_at double, score double, label string, reasoning string, provider string"
+
+
 def test_cache(spark):
-    cache = judgment.latest(spark.createDataFrame([(1, "k", 10.0, 0.1, "low"), (2, "k", 90000.0, 0.9, "high"), (3, "old", 5.0, 0.5, "medium")], "id long, cache_key string, created_at double, score double, label string"))
-    asked = spark.createDataFrame([("k",), ("old",), ("new",)], "cache_key string")
-    got = {r.cache_key: (r.score, r.cached) for r in judgment.judge(asked, cache, F.lit(100000.0)).collect()}
-    assert got == {"k": (0.9, True), "old": (None, False), "new": (None, False)}
-    scored = judgment.judge(asked, cache, F.lit(100000.0), lambda df: df.withColumns({"score": F.lit(0.3), "label": F.lit("low")}))
-    assert {r.cache_key: r.score for r in scored.collect()} == {"k": 0.9, "old": 0.3, "new": 0.3}
+    rows = [(1, "k", 10.0, 0.1, "low", "r", "p"), (2, "k", 90000.0, 0.9, "high", "r", "p"), (3, "old", 5.0, 0.5, "medium", "r", "p")]
+    cache = judgment.latest(spark.createDataFrame(rows, CACHE))
+    asked = spark.createDataFrame([(1, "k", "?"), (2, "old", "?"), (3, "new", "?"), (4, "new", "?")], "page_id long, cache_key string, prompt string")
+    seen = []
+
+    def scorer(df):
+        seen.append(sorted(r.cache_key for r in df.collect()))
+        return df.select("cache_key", F.when(F.col("cache_key") == "new", "CITATION_LIKELIHOOD: 5\nREASONING: so").alias("raw"), F.when(F.col("cache_key") == "old", "x" * 200).alias("error"))
+
+    judged = judgment.judge(asked, cache, F.lit(100000.0), "citation_likelihood", "groq", True, scorer)
+    got = {r.page_id: r.judgment for r in judged.collect()}
+    assert seen == [["new", "old"]] and (got[1].score, got[1].cached) == (0.9, True)
+    assert (got[2].score, got[2].label, got[2].provider, got[2].reasoning) == (None, "unavailable", "mock", d.JUDGE_FAILED + "x" * 120)
+    assert [(got[k].score, got[k].reasoning, got[k].provider) for k in (3, 4)] == [(1.0, "so", "groq")] * 2
+    assert [(r.cache_key, r.score) for r in judgment.to_cache(judged, "citation_likelihood", F.lit(1.0)).collect()] == [("new", 1.0)]
+    off = judgment.judge(asked, cache, F.lit(100000.0), "citation_likelihood", "groq", False, scorer).collect()
+    assert {(r.judgment.score, r.judgment.reasoning) for r in off} == {(None, d.JUDGE_OFF)}
 
 
 def signals(spark, search=5, **change):
-    row = {"page_id": 1, "url": "https://a.example", "search_allowed": search, "training_allowed": 6, "search_denied": [], "training_denied": [], "n": 11, "n_lost": 0, "sitemap_exists": True, "url_count": 2, "llms_exists": True,
+    row = {"page_id": 1, "url": "https://a.example", "search_allowed": search, "training_allowed": 6, "search_denied": [], "training_denied": [], "n": 11, "n_lost": 0, "sitemap": (True, 2), "llms": (True,),
            "present": True, "malformed": False, "types": ["A"], "description": "long enough text", "og_title": "t", "og_description": "d", "h1_count": 1, "hierarchy_issues": [], "noindex": False, "robots_meta": None, "quality": None, "citation": None} | change
-    schema = "page_id long, url string, search_allowed long, training_allowed long, search_denied array<struct<bot_ord:int,user_agent:string>>, training_denied array<struct<bot_ord:int,user_agent:string>>, n long, n_lost long, sitemap_exists boolean, url_count long, llms_exists boolean, present boolean, malformed boolean, types array<string>, description string, og_title string, og_description string, h1_count long, hierarchy_issues array<string>, noindex boolean, robots_meta string, quality struct<score:double,label:string>, citation struct<score:double,label:string>"
+    schema = "page_id long, url string, search_allowed long, training_allowed long, search_denied array<string>, training_denied array<string>, n long, n_lost long, sitemap struct<exists:boolean,url_count:long>, llms struct<exists:boolean>, present boolean, malformed boolean, types array<string>, description string, og_title string, og_description string, h1_count long, hierarchy_issues array<string>, noindex boolean, robots_meta string, quality struct<score:double,label:string>, citation struct<score:double,label:string>"
     names = [f.name for f in spark.createDataFrame([], schema).schema]
     return scoring.totals(scoring.breakdown(spark.createDataFrame([tuple(row[n] for n in names)], schema)))
 
@@ -235,10 +329,11 @@ def test_gate(spark, search, total, gate):
 def test_score_with_judgments_and_nothing(spark):
     r = signals(spark, quality=(0.5, "medium"), citation=(0.25, "low")).collect()[0]
     assert r.llm_available and r.total == 82.5 and r.verdict == "Excellent"
-    low = signals(spark, 0, training_allowed=0, n_lost=11, sitemap_exists=False, llms_exists=False, present=False, description=None, og_title=None, og_description="", h1_count=0, hierarchy_issues=["a", "b", "c"]).collect()[0]
+    low = signals(spark, 0, training_allowed=0, n_lost=11, sitemap=(False, None), llms=(False,), present=False, description=None, og_title=None, og_description="", h1_count=0, hierarchy_issues=["a", "b", "c"]).collect()[0]
     assert low.total == 0.0 and low.verdict == "Poor"
     hidden = signals(spark, noindex=True, robots_meta="noindex")
     assert hidden.collect()[0].total == round(55 / 70 * 100, 1)
+    assert all(round(s * 30 / 5, 1) == signals(spark, s).select("items").collect()[0][0][0].earned for s in range(6))
     ranked = scoring.issues(hidden).orderBy("rank").collect()
     assert [r.points_lost for r in ranked] == [20.0, 15.0, 10.0] and ranked[0].severity == "critical"
 
@@ -285,6 +380,87 @@ def test_fetch(spark):
     server.shutdown()
 
 
+ROBOTS = "User-agent:\tGPTBot\nDisallow:\t/\nSitemap: {base}/dead.xml\nSitemap:\t{base}/map.xml\n"
+HTML = "<title>T</title><meta name=description content='a long description'><h1>x</h1><article>" + "word " * 200 + "</article>"
+
+
+class Site(http.server.BaseHTTPRequestHandler):
+    """A site that refuses search crawlers, workers that see it differently, and a model that answers."""
+
+    asked = []
+
+    def answer(self, status, body, kind="text/html"):
+        self.send_response(status)
+        self.send_header("Content-Type", kind)
+        self.end_headers()
+        self.wfile.write(body.encode())
+
+    def do_GET(self):
+        base = f"http://127.0.0.1:{self.server.server_port}"
+        files = {"/robots.txt": ROBOTS.format(base=base), "/map.xml": "<urlset><url></url><url></url></urlset>", "/llms.txt": "# x", "/": HTML}
+        if any(ua in self.headers["User-Agent"] for ua in ("OAI-SearchBot", "PerplexityBot")):
+            self.answer(403, "no")
+        elif self.path in files:
+            self.answer(200, files[self.path])
+        else:
+            self.answer(404, "no")
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if self.path.startswith("/worker"):
+            Site.asked.append((self.path, body["user_agent"]))
+            self.answer(200, json.dumps({"status": 403 if self.path.endswith("eu") else 200, "blocked": self.path.endswith("eu")}))
+        else:
+            prompt = body["messages"][0]["content"]
+            said = "CITATION_LIKELIHOOD: 4\nREASONING: y" if "cite" in prompt.split("\n")[0] else "READABILITY: 5\nSUBSTANTIVENESS: 4\nCITABILITY: 4\nREASONING: x"
+            self.answer(200, json.dumps({"choices": [{"message": {"content": said}}]}))
+
+    def log_message(self, *a):
+        pass
+
+
+def test_from_sites_to_reports(spark, tmp_path):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    sites = spark.createDataFrame([(1, f"\t{base}/"), (2, "http://127.0.0.1:1")], "page_id long, url string")
+    options = Options(
+        enable_geo=True, enable_llm=True, llm_provider="groq", llm_keys={"groq": "k"}, llm_endpoints={"groq": f"{base}/chat"},
+        workers=(f"{base}/worker-us", f"{base}/worker-eu"), page_timeout=5.0, probe_timeout=5.0,
+    )
+    cache = spark.createDataFrame([], CACHE)
+    out = live.run(sites, str(tmp_path / "fetched"), options, cache, F.lit(1000.0))
+    got = {r.page_id: (r, json.loads(r.report)) for r in out.reports.collect()}
+    row, report = got[1]
+    assert report["url"] == f"{base}/" and report["score"]["llm_available"] and report["score"]["total"] == row.total
+    access = report["raw_evidence"]["access"]
+    assert access["sitemap"] == {"exists": True, "url": f"{base}/map.xml", "url_count": 2, "last_modified": None, "source": "robots.txt"}
+    assert access["llms_txt"]["has_content"] and access["robots"]["sitemap_directives"] == [f"{base}/dead.xml", f"{base}/map.xml"]
+    assert [r["bot"] for r in access["ua_spoof"] if r["blocked"]] == ["OAI-SearchBot", "PerplexityBot"]
+    assert [b["bot_name"] for b in report["per_bot_table"] if not b["robots_allowed"]] == ["GPTBot"]
+    tiers = report["raw_evidence"]["empirical"]
+    assert tiers["tier2"]["geo_anomaly_detected"] and [r["status"] for r in tiers["tier2"]["results"]] == [200, 403]
+    assert len(tiers["tier3"]["results"]) == 22 and len(Site.asked) == 24
+    assert report["raw_evidence"]["content"]["body_word_count"] == 200 and report["raw_evidence"]["content"]["llm"]["provider"] == "groq"
+    breakdown = {x["label"]: x for x in report["score"]["breakdown"]}
+    assert breakdown[d.SEARCH[0]]["evidence"]["per_bot"]["Googlebot"] == {"allowed": True, "disallowed_paths": []}
+    assert breakdown[d.QUALITY[0]]["points_earned"] == round(0.833 * 20, 1) and breakdown[d.CITATION[0]]["points_earned"] == 7.5
+    failed, report = got[2]
+    assert report["raw_evidence"]["access"]["robots"]["parse_note"] == d.NO_ROBOTS and report["raw_evidence"]["content"]["fetch_error"]
+    assert not report["score"]["llm_available"] or report["raw_evidence"]["content"]["llm"]["score"] is None
+    assert sorted((r.call_type, r.score) for r in out.new_judgments.collect()) == [("citation_likelihood", 0.75), ("citation_likelihood", 0.75), ("content_quality", 0.833)]
+    assert {r.filename for r in out.fix_pack.where("page_id = 1").collect()} == {"robots_txt_additions.txt", "json_ld_snippet.html"}
+    server.shutdown()
+
+
+def test_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS gauge LOCATION '{tmp_path / 'wh'}'")
+    for _ in range(2):
+        sinks.create_tables(spark, "gauge.history", "gauge.cache")
+    assert spark.table("gauge.cache").columns[0] == "cache_key" and spark.table("gauge.history").count() == 0
+    spark.sql("DROP DATABASE gauge CASCADE")
+
+
 def test_sinks(spark, tmp_path):
     reports = spark.createDataFrame([("u", "2025-01-01 00:00:00", 1.0, "Poor", "{}")], "url string, t string, score double, verdict string, report string").withColumn("timestamp", F.col("t").cast("timestamp")).drop("t")
     for _ in range(2):
