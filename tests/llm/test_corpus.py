@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitegauge.llm import line_dedup, near_dedup, sharding
+from sitegauge.llm import common, line_dedup, near_dedup, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -221,6 +221,21 @@ def test_sharding_odd_and_empty(odd, none, spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.groupBy("shard").count().collect() and back.count() == 30
+    rows = [(None, "a"), (None, "b"), (7, "c"), (7, "c"), (7, None)]
+    sharding.write_shards(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS), str(tmp_path / "odd"), 2)
+    assert sorted(str((r.doc_id, r.text)) for r in spark.read.parquet(str(tmp_path / "odd")).collect()) == sorted(map(str, rows))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master, getCheckpointDir = "spark://x:7077", staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
 
 
 def test_pipeline_decides_stage_by_stage(spark, tmp_path):

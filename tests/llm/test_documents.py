@@ -1,14 +1,16 @@
 """Operators on single documents: quality rules, personal data, classifiers, tokens, licenses, benchmark items."""
 
 import collections
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitegauge.llm import decontamination, licenses, pii, quality_classifier, quality_rules, sentencepiece, toxicity
+from sitegauge.llm import decontamination, licenses, pii, quality_classifier, quality_rules, sentencepiece, toxicity, training
 from sitegauge.llm.common import crc_fold
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -31,11 +33,27 @@ def test_quality_counts_by_brute_force(spark, odd):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(t)
 
 
-def test_quality_of_more_words_than_a_packed_position_holds(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "POSITION_BITS", 4)
-    text = "p q r s " * 3 + " ".join(f"w{i}" for i in range(30)) + " p q r"
-    r = quality_rules.measure(spark.createDataFrame([(1, text, "en", "s")], DOCS)).collect()[0]
-    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(text)
+def test_every_language_has_a_reference(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(70)), f"l{i % 70}", "s") for i in range(280)]
+    df = spark.createDataFrame(rows, DOCS)
+    limits = quality_rules.Limits()
+    refs = quality_rules.fit(quality_rules.measure(df), limits)
+    assert refs.count() == 70 and refs.where("word_q IS NULL").count() == 70
+    assert quality_rules.judge(df).where("kept").count() == 280
+
+
+def test_both_distances_are_from_one_language(spark):
+    rng = random.Random(5)
+    of = lambda words, n=120: " ".join(rng.choice(words) for _ in range(n))
+    en, de = quality_rules.COMMON_WORDS["en"] + ["house", "tree"], quality_rules.COMMON_WORDS["de"] + ["haus", "baum"]
+    rows = [(i, of(en), "en", "s") for i in range(30)] + [(100 + i, of(de), "de", "s") for i in range(30)]
+    rows += [(200, of(de), "en", "s"), (201, of(de), None, "s"), (202, of(en), "xx", "s"), (203, of(["zzz", "qq"]), None, "s")]
+    got = {r.doc_id: (r.kept, r.word_distance) for r in quality_rules.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i][0] for i in [*range(30), *range(100, 130)])
+    # German text said to be English is far from English; without a language, or in one of its own, a text has the nearest
+    assert not got[200][0] and got[200][1] > 0.6 and got[202][1] < 0.3
+    assert not got[203][0]
 
 
 def test_quality_rejects_junk_and_keeps_prose(spark):
@@ -170,6 +188,94 @@ def test_segments_by_definition():
         assert np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+def test_segments_take_linear_time():
+    def falling(n):
+        out = np.tile([1.0, -1.5], n // 2)  # every segment starts lower than the one before
+        began = time.process_time()
+        assert len(toxicity.segments(out)) == n // 2
+        return time.process_time() - began
+
+    falling(1000)
+    assert min(falling(80_000) for _ in range(3)) < 4 * min(falling(40_000) for _ in range(3))
+
+
+def test_toxicity_by_brute_force(spark):
+    docs, labels = labelled(spark, 400)
+    mild = (F.col("doc_id") % 8 == 0) | (F.col("doc_id") % 11 == 0)  # stands in clean texts too
+    docs = docs.withColumn("text", F.when(mild, F.concat("text", F.lit(" mild mild"))).otherwise(F.col("text")))
+    text, toxic = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    learns = {r.doc_id: r.s for r in labels.where(crc_fold(F.col("doc_id")) != 0).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) > 0).alias("s")).collect()}
+    count = [collections.Counter(), collections.Counter()]
+    for i, for_scores in learns.items():
+        if for_scores:
+            count[toxic[i]].update({b for w in re.findall(r"[^\W_]+", text[i].lower()) for b in toxicity.bins_of(w)})
+    n = [sum(c.values()) for c in count]
+    weight = toxicity.PRIOR * sum(n)
+
+    def odds(b):
+        prior = weight * (count[0][b] + count[1][b]) / sum(n) + 1e-3
+        p, q = count[1][b] + prior, count[0][b] + prior
+        delta = math.log(p / (n[1] + weight - p)) - math.log(q / (n[0] + weight - q))
+        return delta**3 / (delta**2 + toxicity.HALF_Z**2 * (1 / p + 1 / q))
+
+    table = {b: float(np.float32(odds(b))) for b in {*count[0], *count[1]}}
+    model = toxicity.fit(docs, labels)
+    assert set(np.flatnonzero(model.table)) <= set(table) and all(model.table[b] == pytest.approx(x, rel=1e-5, abs=1e-6) for b, x in table.items())
+
+    def score(w):
+        own = [table.get(b, 0.0) for b in toxicity.bins_of(w)]
+        return (max(own) if max(own) > 0 else min(own)) - toxicity.COST
+
+    def segments(t):
+        scores = [score(w) for w in re.findall(r"[^\W_]+", t.lower())]
+        return len(scores), [x for _, _, x in maximal_by_definition(scores)]
+
+    found = {i: segments(text[i]) for i, s in learns.items() if not s}
+    chance = sorted(round(x / toxicity.STEP) for i, (_, xs) in found.items() if not toxic[i] for x in xs)
+    assert chance
+    quantile = lambda q: chance[max(0, math.ceil(q * len(chance)) - 1)] * toxicity.STEP
+    rate = min(5.0, max(0.2, math.log(10) / max(quantile(0.95) - quantile(0.5), toxicity.STEP)))
+    log_k = math.log(len(chance) / 2 / sum(k for i, (k, _) in found.items() if not toxic[i])) + rate * quantile(0.5)
+    assert (model.rate, model.log_k) == (pytest.approx(rate, rel=1e-6), pytest.approx(log_k, rel=1e-6))
+    for r in toxicity.score(docs, model).where("doc_id % 10 = 0").collect():
+        k, xs = segments(text[r.doc_id])
+        beyond = [b for b in (rate * x - log_k - math.log(max(1, k)) for x in xs) if b >= -math.log(toxicity.MAX_EXPECTED)]
+        want = 1 / (1 + math.exp(-(model.slope * min(sum(beyond), toxicity.MAX_EXCESS) + model.bias)))
+        assert r.score == pytest.approx(want, rel=1e-4) and len(r.passages) == len(beyond)
+
+
+def test_training_sample_keeps_its_bounds(spark):
+    docs = spark.createDataFrame([(i // 500, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    ids = [r.doc_id for r in training.sample(docs, labels, "quality", 10).collect()]
+    assert len(ids) == len(set(ids)) > 0
+    many = spark.createDataFrame([(i, "x" * 100) for i in range(2000)], "doc_id long, text string")
+    marks = many.select("doc_id", F.lit(1).alias("quality"))
+    assert training.sample(many, marks, "quality", 10_000, 20_000).count() < 260
+
+
+def test_training_by_brute_force():
+    rng = random.Random(9)
+    hashes = quality_classifier.WordHashes()
+    data = [(*quality_classifier.features(" ".join(rng.choice("ab cd ef GH 12 x!".split()) for _ in range(rng.randint(0, 30))), hashes), float(rng.random() < 0.5)) for _ in range(80)]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    a, b, l1, l2 = quality_classifier.ALPHA, quality_classifier.BETA, quality_classifier.L1, quality_classifier.L2
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+    for _ in range(quality_classifier.EPOCHS):
+        for bins, values, y in data:
+            w = {int(i): weight(int(i)) for i in bins}
+            p = 1 / (1 + math.exp(-sum(w[int(i)] * float(x) for i, x in zip(bins, values, strict=True))))
+            for i, x in zip(bins.tolist(), values.tolist(), strict=True):
+                g = (p - y) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a * w[i]
+                n[i] += g * g
+    got = quality_classifier.train(data)
+    assert np.flatnonzero(got).size and all(got[i] == pytest.approx(weight(i), rel=1e-4, abs=1e-6) for i in z)
+    text = "ab GH 12 ab ab"
+    bins, values = quality_classifier.features(text, hashes)
+    assert quality_classifier.score_text(text, got, hashes) == pytest.approx(1 / (1 + math.exp(-float(got[bins] @ values))), rel=1e-5)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return sentencepiece.load()
@@ -234,7 +340,9 @@ def test_licenses_are_found_where_they_stand(spark):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = {(r.doc_id, r.template) for r in got}
     assert len(found) == len(got) and set(planted) <= found
-    assert {t for x, t in found - set(planted)} <= {"Apache-2.0-notice"}  # it stands within the longer text
+    within = {(a, b) for a in licenses.TEMPLATES for b in licenses.TEMPLATES if " ".join(licenses.TEMPLATES[b].lower().rstrip(".").split()) in licenses.TEMPLATES[a].lower()}
+    of = dict(planted)
+    assert all((of[x], t) in within for x, t in found - set(planted))
     texts = dict(rows)
     for r in got:
         assert texts[r.doc_id][r.start : r.end].lower() in " ".join(licenses.TEMPLATES[r.template].lower().split()) and r.containment == 1.0
@@ -254,6 +362,60 @@ def test_licenses_partly_there(spark):
     assert [(r.doc_id, r.template) for r in got] == [(1, "GPL-3.0")]
 
 
+def naive_occurrences(words, template, containment):
+    """Every set of shingles whose starts lie close enough, tried one by one."""
+    k = min(licenses.WORDS, len(template))
+    cut = lambda ws: [tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)]
+    own, places = cut(template), collections.defaultdict(list)
+    for i, x in enumerate(own):
+        places[x].append(i)
+    drift = int((1 - containment) * len(places))
+    hits = [(p - o, p, x) for p, x in enumerate(cut(words)) for o in places.get(x, ())]
+    found = []
+    for start in sorted({h[0] for h in hits}):
+        near = [(p, x) for s, p, x in hits if start <= s <= start + drift]
+        first = {}
+        for p, x in sorted(near):
+            first.setdefault(x, p)
+        if len(first) >= containment * len(places) - 1e-9:
+            found.append((-len(first), min(first.values()), max(first.values())))
+    out = []
+    for n, a, b in sorted(found):
+        if all(b < c or a > e for c, e, _ in out):
+            out.append((a, b, -n / len(places)))
+    return [(a, b + k, c) for a, b, c in sorted(out)]
+
+
+def test_license_occurrences_by_brute_force():
+    rng = random.Random(12)
+    templates = {"long": " ".join(f"t{i}" for i in range(60)), "loop": "a b c d e f a b c d e g", "pair": "one two", "MIT": licenses.TEMPLATES["MIT"], "BSD-whole": licenses.TEMPLATES["BSD-whole"]}
+    scanner = licenses.Scanner(templates, 0.8)
+    n = 0
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            own = licenses._WORD.findall(rng.choice(list(templates.values())).lower())
+            for _ in range(rng.choice([0, 0, 1, 2, len(own) // 20])):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = ["odd"] * rng.randint(0, 2)
+                own = own or ["odd"]
+            words += own[: rng.choice([len(own), len(own), len(own) * 3 // 4])] + [f"f{rng.randrange(99)}" for _ in range(rng.choice([0, 0, 2, 40]))]
+        text = " ".join(words)
+        at = [m.span() for m in licenses._WORD.finditer(text)]
+        want = {(name, at[a][0], at[b - 1][1], c) for name, t in templates.items() for a, b, c in naive_occurrences(words, licenses._WORD.findall(t.lower()), 0.8)}
+        got = {(x["template"], x["start"], x["end"], x["containment"]) for x in scanner.find(text)}
+        assert got == want, text
+        n += len(want)
+    assert n > 200
+
+
+def test_licenses_side_by_side(spark):
+    t = licenses.TEMPLATES["ISC"]
+    rows = [(1, f"{t} {t}\n{t}"), (2, f"copies with or without fee is hereby granted {'word ' * 9}{t}")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("template = 'ISC'").orderBy("doc_id", "start").collect()
+    assert [dict(rows)[r.doc_id][r.start : r.end] for r in got] == [t.rstrip(".")] * 4
+
+
 def test_licenses_odd_and_empty(odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
     assert licenses.scan(odd, {}).count() == 0 and licenses.scan(odd, {"e": "", "s": "one two"}).count() == 2
@@ -301,6 +463,36 @@ def test_items_are_found_within_their_budget_by_brute_force(spark):
             assert ((i, k) in got) == (edit_distance_inside(item, plain) <= int(len(item) * decontamination.ERROR_SHARE))
 
 
+def test_items_of_any_length_by_brute_force(spark):
+    rng = random.Random(18)
+    some = lambda n: "".join(rng.choice("abcde fg") for _ in range(n))
+    items = [(i, t) for i, n in enumerate([1, 2, 3, 5, 8, 12, 15, 16, 17, 20, 25, 31, 32, 40, 80, 150, 200]) if (t := some(n)).strip()]
+    docs = []
+    for i in range(150):
+        item = list(rng.choice(items)[1])
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            at = rng.randrange(len(item) + 1)
+            item[at : at + rng.randint(0, 1)] = rng.choice(["", "z"])
+        docs.append((i, some(rng.randint(0, 40)) + rng.choice(["", " "]) + "".join(item) + rng.choice(["", " ", "."]) + some(rng.randint(0, 40))))
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, t in docs:
+        for k, q in items:
+            plain, item = decontamination.normalise(t), decontamination.normalise(q)
+            budget = int(len(item) * decontamination.ERROR_SHARE)
+            exact = any(decontamination.whole_words(plain, m, m + len(item)) for m in range(len(plain)) if plain.startswith(item, m))
+            assert ((i, k) in got) == (edit_distance_inside(item, plain) <= budget if budget else exact), (t, q)
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK", 3)
+    items = [(i if i else None, f"item number {i} has a few words of its own") for i in range(10)]
+    docs = spark.createDataFrame([(i, f"before {t} after", "kept") for i, t in items], "doc_id long, text string, leaks string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in decontamination.matches(docs, bench).collect() if r.distance == 0) == [(i, i) for i in range(10)]
+    one = decontamination.decontaminate(docs, bench.where("item_id > 3"))
+    assert one.columns == docs.columns and all(r.leaks == "kept" for r in one.collect())
+
+
 def test_positions_of_items(spark):
     item = "The quick brown fox jumps over the lazy dog and runs"
     text = "İ start  " + item.replace(" ", " \n ") + " end"
@@ -309,7 +501,7 @@ def test_positions_of_items(spark):
 
 
 def test_decontaminate_odd_and_empty(spark, odd, none):
-    items = spark.createDataFrame([(1, None), (None, "x" * 99), (2, ""), (3, "short"), (4, "x" * 50), (4, "x" * 50)], "item_id long, text string")
+    items = spark.createDataFrame([(1, None), (None, "x" * 99), (2, ""), (3, "shorter"), (4, "x" * 50), (4, "x" * 50)], "item_id long, text string")
     clean = decontamination.decontaminate(odd, items)
     assert {r.doc_id for r in odd.collect()} - {r.doc_id for r in clean.collect()} == {5}
     assert decontamination.decontaminate(odd, items.limit(0)).count() == 9 and decontamination.matches(none, items).count() == 0
