@@ -43,12 +43,24 @@ def delta(history: DataFrame) -> DataFrame:
 
 
 def sparkline(history: DataFrame, width: float = 252.0, height: float = 40.0) -> DataFrame:
-    """url, id, i, x, y of every run in order of time; URLs with one run have none."""
-    whole = W.partitionBy("url")
-    df = history.select(
-        "url", "id", "score", (F.row_number().over(W.partitionBy("url").orderBy("timestamp", "id")) - 1).cast("long").alias("i"), F.count("*").over(whole).alias("n"),
-        F.least(F.min("score").over(whole), F.lit(0.0)).alias("low"), F.greatest(F.max("score").over(whole), F.lit(1.0)).alias("high"),
+    """url, id, i, x, y of every run in order of time; URLs with one run have none.
+
+    Runs are ranked within a day, and days by the runs before them, so a URL
+    with very many runs is spread over its days; its range is a sum of each
+    day's.
+    """
+    runs = history.select("url", "id", "score", "timestamp", F.to_date("timestamp").alias("day"))
+    days = runs.groupBy("url", "day").agg(F.count("*").alias("k"), F.min("score").alias("least"), F.max("score").alias("most"))
+    own = W.partitionBy("url")
+    days = days.select(
+        "url", "day", F.coalesce(F.sum("k").over(own.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("k").over(own).alias("n"), F.least(F.min("least").over(own), F.lit(0.0)).alias("low"), F.greatest(F.max("most").over(own), F.lit(1.0)).alias("high"),
     ).where("n > 1")
+    place = F.row_number().over(W.partitionBy("url", "day").orderBy("timestamp", "id")) - 1
+    ranked = runs.select("url", "id", "score", "day", place.cast("long").alias("place"))
+    df = ranked.join(days, (ranked["url"] == days["url"]) & ranked["day"].eqNullSafe(days["day"])).select(
+        ranked["url"], "id", "score", (F.col("before") + F.col("place")).alias("i"), "n", "low", "high"
+    )
     span = F.greatest(F.col("high") - F.col("low"), F.lit(1.0))
     x: Column = F.lit(4.0) + F.col("i") / (F.col("n") - 1) * width
     y: Column = F.lit(44.0) - (F.col("score") - F.col("low")) / span * height
@@ -56,8 +68,11 @@ def sparkline(history: DataFrame, width: float = 252.0, height: float = 40.0) ->
 
 
 def recent_table(history: DataFrame, rows: int = 8) -> DataFrame:
-    """The newest rows of URLs that ran more than once."""
-    ranked = history.select(
-        "url", "id", "score", "verdict", F.row_number().over(_newest()).cast("long").alias("rn"), F.count("*").over(W.partitionBy("url")).alias("n")
-    )
-    return ranked.where((F.col("rn") <= rows) & (F.col("n") > 1)).drop("n")
+    """The newest rows of URLs that ran more than once.
+
+    Ranks beyond `rows` go before the shuffle; whether there is a second run
+    shows in the rows that are left.
+    """
+    ranked = history.select("url", "id", "score", "verdict", F.row_number().over(_newest()).cast("long").alias("rn")).where(F.col("rn") <= max(rows, 2))
+    kept = ranked.withColumn("n", F.count("*").over(W.partitionBy("url")))
+    return kept.where((F.col("rn") <= rows) & (F.col("n") > 1)).drop("n")

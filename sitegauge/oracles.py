@@ -167,6 +167,12 @@ UNION ALL SELECT page_id, 'llms.txt', sha256('# llms.txt\n# A forward-looking si
 UNION ALL SELECT page_id, 'json_ld_snippet.html', sha256('<script type="application/ld+json">\n{{"@context": "https://schema.org", "@type": "WebPage", "name": "", "description": "", "url": ""}}\n</script>') FROM facts WHERE NOT present OR malformed
 UNION ALL SELECT page_id, 'meta_description.html', sha256('<meta name="description" content="">') FROM facts WHERE coalesce(description, '') = ''"""),
     "breakdown_pct": ("score_breakdown", "SELECT page_id, item_ord, round(earned / possible * 100, 6) AS percent, CASE WHEN earned / possible * 100 >= 85 THEN 'green' WHEN earned / possible * 100 >= 55 THEN 'yellow' WHEN earned / possible * 100 >= 25 THEN 'orange' ELSE 'red' END AS band, CASE WHEN length(reason) > 120 THEN concat(left(reason, 120), '…') ELSE reason END AS reason FROM score_breakdown"),
+    "rp_items": ("score_breakdown issues_ranked fix_pack", "SELECT page_id, arg_min(label, item_ord) AS first_item, arg_min(reason, item_ord) FILTER (item_ord > 0) AS flat_reason FROM score_breakdown GROUP BY page_id"),
+    "rp_bots": ("per_bot_table robots_access ua_probe", "SELECT r.page_id, arg_min(r.user_agent, r.bot_ord) FILTER (r.category = 'search' AND r.allowed) AS first_evidence, any_value(r.allowed) FILTER (r.bot_ord = 6) AS bot_allowed, any_value(u.http_status) FILTER (u.bot_ord = 0) AS third_status, any_value(coalesce(u.http_status IN (403, 429, 503), false)) FILTER (u.bot_ord = 0) AS spoof_blocked FROM robots_access r JOIN ua_probe u ON u.page_id = r.page_id AND u.bot_ord = r.bot_ord GROUP BY r.page_id"),
+    "rp_files": ("fix_pack", "SELECT page_id, first(filename ORDER BY CASE filename WHEN 'robots_txt_additions.txt' THEN 0 WHEN 'llms.txt' THEN 1 WHEN 'json_ld_snippet.html' THEN 2 ELSE 3 END) AS first_file FROM fix_pack GROUP BY page_id"),
+    "rp_types": ("pages_ld", "SELECT page_id, to_json(list(type ORDER BY type))::VARCHAR AS ld_types FROM pages_ld GROUP BY page_id"),
+    "rp_heads": ("hd_count", "SELECT page_id, least(n, 20)::VARCHAR AS n_headings FROM hd_count"),
+    "report_json": ("score_total rp_items rp_bots issues_ranked bot_summaries robots_txt sitemap_check llms_txt rp_types meta_tags rp_heads canonical_check main_content llm_quality_parse llm_citation_parse tier1_anomaly tier_reached rp_files", f"SELECT t.page_id, t.verdict, t.total::VARCHAR AS score, i.first_item, b.first_evidence, b.third_status::VARCHAR AS third_status, (SELECT title FROM issues_ranked q WHERE q.page_id = t.page_id AND q.rank = 1) AS first_issue, t.gate_reason, 'OAI-SearchBot' AS bot, b.bot_allowed::VARCHAR AS bot_allowed, s.training_summary AS training, s.search_summary AS search, r.http_status::VARCHAR AS robots_status, CASE WHEN coalesce(r.http_status = 200 AND r.text <> '', false) THEN NULL ELSE '{d.NO_ROBOTS}' END AS parse_note, m.source AS sitemap_source, l.has_content::VARCHAR AS llms_content, b.spoof_blocked::VARCHAR AS spoof_blocked, coalesce(y.ld_types, '[]') AS ld_types, g.title AS meta_title, h.n_headings, c.canonical_url AS canonical, w.body_word_count::VARCHAR AS words, z.label AS quality_label, a.reason AS tier1, e.skipped AS tier2_skipped, CASE WHEN e.tier_reached > 1 THEN e.geo_anomaly::VARCHAR END AS tier2_geo, x.label AS citation_label, i.flat_reason, f.first_file, '0' AS duration FROM score_total t JOIN rp_items i USING (page_id) JOIN rp_bots b USING (page_id) JOIN bot_summaries s USING (page_id) JOIN robots_txt r USING (page_id) JOIN sitemap_check m USING (page_id) JOIN llms_txt l USING (page_id) LEFT JOIN rp_types y USING (page_id) JOIN meta_tags g USING (page_id) JOIN rp_heads h USING (page_id) JOIN canonical_check c USING (page_id) JOIN main_content w USING (page_id) JOIN llm_quality_parse z USING (page_id) JOIN llm_citation_parse x USING (page_id) JOIN tier1_anomaly a USING (page_id) JOIN tier_reached e USING (page_id) LEFT JOIN rp_files f USING (page_id)"),
     "history_recent": ("history", 'SELECT id, url, "timestamp", score, verdict, row_number() OVER (PARTITION BY url ORDER BY "timestamp" DESC, id DESC) AS rn FROM history QUALIFY rn <= 20'),
     "history_for_url": ("history", "SELECT id, url, \"timestamp\", score, verdict FROM history WHERE url = 'https://site-1.example' ORDER BY \"timestamp\" DESC, id DESC LIMIT 20"),
     "history_latest": ("history", 'SELECT url, "timestamp" AS latest, score, verdict FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY "timestamp" DESC, id DESC) AS rn FROM history) WHERE rn = 1 ORDER BY latest DESC, url LIMIT 100'),
