@@ -41,13 +41,21 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Later jobs read the files instead of repeating a shuffle, and an
     order-dependent result (range boundaries, say) stays the same for every
-    reader. The files go when the session ends.
+    reader. The files go when the session ends, or by discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes the files of materialised DataFrames that nothing reads any more."""
+    for df in written:
+        _remove(df.sparkSession, df.written_to)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, by_slice, materialize
+from .common import SLICE, by_slice, discard, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -276,10 +276,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in links (u, v): label is the least node of its connected component.
 
     Labels spread to neighbours and jump to their label's label until none
-    changes; each round is written out.
+    changes; each round is written out, and the one before deleted.
     """
     edges = materialize(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    before = labels
     while True:
         heard = edges.join(labels, edges["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("heard"))
         nearer = labels.join(heard, labels["node"] == heard["u"], "left").select(
@@ -287,9 +288,11 @@ def components(links: DataFrame) -> DataFrame:
         )
         up = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
         now = materialize(nearer.join(up, "label", "left").select("node", F.least("label", "further").alias("label"), "old"))
+        discard(before)
         if not now.where(F.col("label") != F.col("old")).limit(1).count():
+            discard(edges)
             return now.select("node", "label")
-        labels = now.select("node", "label")
+        before, labels = now, now.select("node", "label")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -327,7 +330,9 @@ def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     last = components(merged).select(F.col("node").alias("before"), F.col("label").alias("after"))
     grouped = nodes.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"))
     grouped = grouped.join(last, grouped["label"] == last["before"], "left").select("node", "first", "n", F.coalesce("after", "label").alias("label"))
-    return signed.select("doc_id", "node"), materialize(grouped)
+    grouped = materialize(grouped)
+    discard(nodes, members, texts)
+    return signed.select("doc_id", "node"), grouped
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
