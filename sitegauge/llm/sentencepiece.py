@@ -262,6 +262,8 @@ def load(path: str = MODEL) -> Tokenizer:
     if -1 in byte_ids:
         raise ValueError("the model has no byte pieces, so it can't give every text back")
     texts = [p for p, _, k in pieces if k in (NORMAL, USER)]
+    if MARK not in texts:
+        raise ValueError("the model has no piece for white space alone, so it can't give every text back")
     inner = {c for p in texts if len(p) > 1 for c in p}
     apart = not any(MARK in p.lstrip(MARK) for p in texts)
     normal = [scores[i] for i, (_, _, k) in enumerate(pieces) if k == NORMAL]

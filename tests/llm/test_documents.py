@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import struct
 import time
 
 import numpy as np
@@ -311,6 +312,61 @@ def test_viterbi_by_brute_force(tokenizer):
         assert cost == pytest.approx(best(marked)), text
 
 
+def model_file(path, pieces):
+    """A unigram model of (piece, score) and all byte pieces, as a protocol buffer."""
+    field = lambda number, data: bytes([number << 3 | 2, *varint(len(data))]) + data
+
+    def varint(n):
+        out = []
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return [*out, n]
+
+    def piece(text, score, kind):
+        return field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + bytes([3 << 3, kind]))
+
+    own = [piece("<unk>", 0.0, sentencepiece.UNKNOWN), *(piece(f"<0x{b:02X}>", 0.0, sentencepiece.BYTE) for b in range(256))]
+    path.write_bytes(b"".join([*own, *(piece(t, s, sentencepiece.NORMAL) for t, s in pieces)]) + field(2, bytes([3 << 3, 1])))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_viterbi_over_random_vocabularies(tmp_path, seed):
+    rng = random.Random(seed)
+    letters = "ab\u00e9\u2581\u65e5c" if seed % 2 else "abc\n\U0001f642"
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(60)} | {"\u2581"}
+    if seed % 3 == 0:  # no marker within a piece, so that texts are cut
+        words = {w for w in words if "\u2581" not in w.lstrip("\u2581")}
+    scores = {w: float(np.float32(-rng.uniform(0.5, 12))) for w in words}
+    model_file(tmp_path / "m.model", scores.items())
+    t = sentencepiece.load(str(tmp_path / "m.model"))
+    model_file(tmp_path / "bare.model", [("a", -1.0)])
+    with pytest.raises(ValueError, match="white space"):
+        sentencepiece.load(str(tmp_path / "bare.model"))
+    ids = {t.surface[i].decode().replace(" ", "\u2581"): i for i in range(257, len(t.surface))}
+    for n in [0, 1, 2, 7, 30, 200, 4000]:
+        text = "".join(rng.choice("abc\u00e9 \u65e5\n\U0001f642z") for _ in range(n))
+        marked = (" " + text).replace(" ", "\u2581") if text else ""
+        best = [0.0] + [-math.inf] * len(marked)
+        for e in range(1, len(marked) + 1):
+            for b in range(max(0, e - 5), e):
+                if marked[b:e] in scores:
+                    best[e] = max(best[e], best[b] + scores[marked[b:e]])
+            if marked[e - 1] not in scores:
+                best[e] = max(best[e], best[e - 1] + t.unknown)
+        got = t.encode(text)
+        assert t.decode(got) == text
+        cost, k = 0.0, 0
+        while k < len(got):
+            if got[k] in t.byte_ids:
+                first = t.byte_ids.index(got[k])
+                k += 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+                cost += t.unknown
+            else:
+                cost, k = cost + scores[next(w for w, i in ids.items() if i == got[k])], k + 1
+        assert cost == pytest.approx(best[-1], rel=1e-6)
+
+
 def test_round_trips(tokenizer):
     rng = random.Random(2)
     letters = " \n\t▁aebé日🙂'\x00\r"
