@@ -25,8 +25,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: 20 bands of 4 components: a pair at 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 > 0.99997.
 BANDS, ROWS = 20, 4
-#: Texts on each side of a cell of comparisons, about.
-BLOCK = 256
+#: Texts on each side of a cell of comparisons, about, and their code points.
+BLOCK, BLOCK_CHARS = 256, 2_000_000
 CACHED_WORDS = 200_000
 #: Shingles of texts that a task keeps at hand.
 CACHED_SHINGLES = 2_000_000
@@ -135,8 +135,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return last[node]
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [bands(n, t) for n, t in zip(b["node"].to_pylist(), b["text"].to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([b["doc_id"], b["node"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+        texts = b["text"].to_pylist()
+        found = [bands(n, t) for n, t in zip(b["node"].to_pylist(), texts, strict=True)]
+        sizes = pa.array([len(t) for t in texts], pa.int64())
+        return pa.RecordBatch.from_arrays([b["doc_id"], b["node"], sizes, pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "chars", "bands"])
 
     yield from by_slice(work)(batches)
 
@@ -218,15 +220,20 @@ def _links(cells: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """node, bucket and score of every member of a bucket of two or more, from rows (node, bands); score: how full its buckets are."""
-    rows = nodes.select("node", F.posexplode("bands").alias("i", "key")).select("node", F.xxhash64("i", "key").alias("bucket"))
+    """node, chars, bucket and score of every member of a bucket of two or more, from rows (node, chars, bands); score: how full its buckets are."""
+    rows = nodes.select("node", "chars", F.posexplode("bands").alias("i", "key")).select("node", "chars", F.xxhash64("i", "key").alias("bucket"))
     # sums are written out before they are joined: only then can a join split the rows of a hot bucket
     full = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = materialize(rows.join(full, "bucket").select("node", "bucket", "n"))
+    shared = materialize(rows.join(full, "bucket").select("node", "chars", "bucket", "n"))
     score = shared.groupBy("node").agg(F.sum("n").alias("score"))
     return materialize(shared.drop("n").join(score, "node"))
 
 
+def _blocks(n: Column, chars: Column) -> Column:
+    """Blocks for so many texts of so many code points."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS))
+
+
 def _dealt(node: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(5)), blocks)
 
@@ -239,8 +246,8 @@ def star_cells(members: DataFrame) -> DataFrame:
     are dealt to cells of about BLOCK; so the work is linear in the members.
     """
     centres = materialize(members.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("centre")))
-    pairs = materialize(members.join(centres, "bucket").where("node <> centre").select("centre", "node").distinct())
-    blocks = materialize(pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    pairs = materialize(members.join(centres, "bucket").where("node <> centre").select("centre", "node", "chars").distinct())
+    blocks = materialize(pairs.groupBy("centre").agg(_blocks(F.count("*"), F.sum("chars")).alias("blocks")))
     others = pairs.join(blocks, "centre").select(F.xxhash64("centre", _dealt("node", F.col("blocks"))).alias("cell"), F.lit(1).alias("side"), "node")
     asked = blocks.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b")).select(
         F.xxhash64("centre", "b").alias("cell"), F.lit(0).alias("side"), F.col("centre").alias("node")
@@ -256,13 +263,14 @@ def open_cells(members: DataFrame, labels: DataFrame) -> DataFrame:
     component need no look, so a large family in one component costs nothing.
     """
     label = F.coalesce("label", "node").alias("label")
-    of = materialize(members.select("node", "bucket").join(labels, "node", "left").select("node", "bucket", label))
-    sizes = of.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    of = materialize(members.select("node", "chars", "bucket").join(labels, "node", "left").select("node", "chars", "bucket", label))
+    sizes = of.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    n, chars, most = F.col("n"), F.col("chars"), F.col("most")
     mixed = (
         sizes.groupBy("bucket")
-        .agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("k"))
+        .agg(F.max(F.struct("n", "label", "chars")).alias("most"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count("*").alias("k"))
         .where("k > 1")
-        .select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns"))
+        .select("bucket", most["label"].alias("main"), _blocks(n - most["n"], chars - most["chars"]).alias("rows"), _blocks(n, chars).alias("columns"))
     )
     mine = materialize(of.join(materialize(mixed), "bucket"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -313,9 +321,10 @@ def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, node) of docs, and rows (node, first, n, label) of its different texts; label: the class."""
     keyed = _keyed(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialize(keyed.mapInArrow(_signed, f"doc_id {kind}, node binary, bands array<long>"))
-    nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    members = bucket_members(nodes.select("node", "bands"))
+    signed = materialize(keyed.mapInArrow(_signed, f"doc_id {kind}, node binary, chars long, bands array<long>"))
+    once = [F.first(c).alias(c) for c in ("chars", "bands")]
+    nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), *once))
+    members = bucket_members(nodes.select("node", "chars", "bands"))
     # a text comes from a row of its least id, so that a text of very many rows isn't shuffled as often
     sharing = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", _id(F.col("first")).alias("id"))
     own = keyed.select("node", _id(F.col("doc_id")).alias("id"), "text").join(sharing, ["node", "id"], "left_semi")

@@ -151,8 +151,10 @@ def test_texts_without_ids_and_repeated_ids(spark):
     assert kept == sorted([(0, rows[2][1]), (0, rows[3][1]), (3, near), (5, "a b c d e f"), (5, "another text of id five")])
 
 
-def test_cells_of_few_texts_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+@pytest.mark.parametrize(("block", "chars"), [(5, 10**9), (10**9, 3000)])
+def test_cells_of_few_texts_lose_no_link(spark, monkeypatch, block, chars):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_CHARS", chars)
     texts = dict(enumerate(family(11, 30)))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == brute_classes(texts)
