@@ -66,7 +66,7 @@ def _tiers(anomalies: DataFrame, options: Options, keep) -> DataFrame:
 
 
 def run(sites: DataFrame, folder: str, options: Options, cache: DataFrame, now: Column, rendered: DataFrame | None = None) -> Outcome:
-    """Reports, fix packs and new judgments of sites (page_id, url as given).
+    """Reports, fix packs and new judgments of sites (page_id, unique, and url as given).
 
     folder: a shared folder for what is fetched. cache: judgments so far
     (cache_key, score, label, reasoning, provider, created_at). rendered:
@@ -97,16 +97,17 @@ def run(sites: DataFrame, folder: str, options: Options, cache: DataFrame, now:
     # parsed once: prompts and reports read the same rows
     seen = keep(analyze.signals(whole, whole=True).drop("html", "head", "main", "rendered", "rendered_html"))
     url = F.col("url")
-    asked = seen.select(
+    asked = seen.where("NOT failed").select(
         "page_id", judgment.quality_key(url, F.left("final_text", F.lit(EXCERPT))).alias("cache_key"),
         judgment.quality_prompt(url, F.left("final_text", F.lit(EXCERPT))).alias("prompt"),
-    ).where(~F.col("failed") if "failed" in seen.columns else F.lit(True))
+    )
     cited = seen.select(
         "page_id", judgment.citation_key(url, F.col("description"), F.col("types"), F.lit(0)).alias("cache_key"),
         judgment.citation_prompt(url, F.col("description"), F.col("types"), F.col("search_allowed"), len(d.SEARCH_BOTS)).alias("prompt"),
     )
     judged = {}
-    for name, requests, kind, tokens in (("quality", asked, "content_quality", QUALITY_TOKENS), ("citation", cited, "citation_likelihood", CITATION_TOKENS)):
+    kinds = (("quality", asked, "content_quality", QUALITY_TOKENS), ("citation", cited, "citation_likelihood", CITATION_TOKENS))
+    for name, requests, kind, tokens in kinds:
         scorer = fetch.completions(options, tokens)
         judged[name] = keep(judgment.judge(requests, cache, now, kind, options.provider, options.enable_llm, scorer))
     for name, df in judged.items():

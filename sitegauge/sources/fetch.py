@@ -71,17 +71,19 @@ def get(url: str, user_agent: str, timeout: float) -> dict:
     return out
 
 
-def fetch(requests: DataFrame, timeout: float = TIMEOUT) -> DataFrame:
-    """requests (page_id, url, user_agent) with what came back. URLs that aren't http or https give an error row."""
+def fetch(requests: DataFrame, timeout: float = TIMEOUT, numbered: bool = False) -> DataFrame:
+    """requests (page_id, url, user_agent; pos too, if numbered) with what came back. URLs that aren't http or https give an error row."""
+    own = ["page_id", *["pos"] * numbered, "url", "user_agent"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"page_id": r.page_id, "url": r.url, "user_agent": r.user_agent} | get(r.url or "", r.user_agent or "", timeout) for r in batch.itertuples()]
+            rows = [{k: getattr(r, k) for k in own} | get(r.url or "", r.user_agent or "", timeout) for r in batch.itertuples()]
             if rows:
-                yield pd.DataFrame(rows)[["page_id", "url", "user_agent", "http_status", "text", "size", "redirects", "error"]].astype({"http_status": "Int32"})
+                yield pd.DataFrame(rows)[[*own, "http_status", "text", "size", "redirects", "error"]].astype({"http_status": "Int32"})
 
-    df = requests.select(F.col("page_id").cast("long").alias("page_id"), "url", "user_agent")
-    return df.repartition(F.xxhash64(urls.base(F.col("url")))).mapInPandas(run, SCHEMA)
+    df = requests.select(F.col("page_id").cast("long").alias("page_id"), *own[1:])
+    schema = SCHEMA.replace("url string", "pos int, url string", 1) if numbered else SCHEMA
+    return df.repartition(F.xxhash64(urls.base(F.col("url")))).mapInPandas(run, schema)
 
 
 def pages(sites: DataFrame, timeout: float = TIMEOUT) -> DataFrame:
@@ -96,11 +98,7 @@ def files(sites: DataFrame, path: str, timeout: float = TIMEOUT) -> DataFrame:
 
 def at_positions(requests: DataFrame, timeout: float = TIMEOUT) -> DataFrame:
     """page_id, pos, url, http_status, text, error of requests (page_id, pos, url): the candidates of a sitemap."""
-    # a page's requests are told apart by position, which goes along as the user agent's suffix would
-    tagged = requests.select((F.col("page_id") * 4096 + F.col("pos")).alias("page_id"), "url", F.lit(NEUTRAL_AGENT).alias("user_agent"))
-    got = fetch(tagged, timeout)
-    at = F.col("page_id")
-    return got.select(F.floor(at / 4096).cast("long").alias("page_id"), F.pmod(at, F.lit(4096)).cast("int").alias("pos"), "url", "http_status", "text", "error")
+    return fetch(requests.withColumn("user_agent", F.lit(NEUTRAL_AGENT)), timeout, numbered=True).drop("user_agent", "size", "redirects")
 
 
 def probe(sites: DataFrame, timeout: float = PROBE_TIMEOUT) -> DataFrame:
