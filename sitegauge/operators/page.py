@@ -1,4 +1,4 @@
-"""One pass over a page's markup: head, headings, JSON-LD, script sources and, if asked for, the tree for its main text.
+"""One reading of a page's markup: head, headings, JSON-LD, script sources and, if asked for, the tree for its main text.
 
 A page crosses to Python once, in Arrow batches, whatever is asked of it.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -35,23 +36,87 @@ class _Node:
         self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
 
 
-class Page(HTMLParser):
-    """What a page's markup says, gathered as its tags go by; comments say nothing.
+#: A comment, a declaration, or a tag with its attributes; quotes count only after an equals sign.
+_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>""", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_RAW_END = {name: re.compile(f"</{name}", re.IGNORECASE) for name in ("script", "style")}
 
-    With `tree`, elements are kept in a forgiving tree too: paragraphs close
-    each other, stray end tags are ignored, open ones end with their parent.
-    """
 
-    def __init__(self, html: str, tree: bool = False) -> None:
-        super().__init__(convert_charrefs=True)
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag, names in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), unescape("".join(values)))
+    return out
+
+
+class Head:
+    """Metas, links, titles, headings and scripts of a page, from one pass that looks at tags only; comments say nothing."""
+
+    def __init__(self, html: str) -> None:
         self.metas: list[dict] = []
         self.links: list[dict] = []
         self.sources: list[str] = []
         self.blocks: list[str] = []
         self.headings: list[tuple[str, list[str]]] = []
         self.titles: list[str] | None = None
+        in_heading = in_title = False
+        at = 0
+        while (m := _TOKEN.search(html, at)) is not None:
+            if in_heading or in_title:
+                self._text(html[at : m.start()], in_heading, in_title)
+            at = m.end()
+            name = (m[2] or "").lower()
+            if not name:
+                continue
+            if m[1]:
+                in_title = in_title and name != "title"
+                in_heading = in_heading and not _HEADING.fullmatch(name)
+            elif name == "meta":
+                self.metas.append(_attributes(m[3]))
+            elif name == "link":
+                self.links.append(_attributes(m[3]))
+            elif name in _RAW_END:
+                end = _RAW_END[name].search(html, at)
+                body, at = html[at : end.start() if end else len(html)], end.start() if end else len(html)
+                if name == "script":
+                    own = _attributes(m[3])
+                    if "src" in own:
+                        self.sources.append(own["src"])
+                    if own.get("type") == "application/ld+json":
+                        self.blocks.append(body)
+            elif name == "title" and self.titles is None:
+                self.titles, in_title = [], True
+            elif _HEADING.fullmatch(name):
+                self.headings.append((name, []))
+                in_heading = True
+        if in_heading or in_title:
+            self._text(html[at:], in_heading, in_title)
+
+    def _text(self, raw: str, in_heading: bool, in_title: bool) -> None:
+        text = unescape(raw).strip()
+        if in_heading:
+            self.headings[-1][1].append(text)
+        if in_title:
+            self.titles.append(text)
+
+    def meta(self, attribute: str, value: str) -> str | None:
+        """Content of the first such meta tag: null without one, '' if it has none."""
+        own = next((m for m in self.metas if m.get(attribute, "").lower() == value), None)
+        return None if own is None else own.get("content", "").strip()
+
+    def canonical(self) -> str | None:
+        own = next((x for x in self.links if "canonical" in x.get("rel", "").split()), None)
+        return None if own is None else own.get("href", "").strip()
+
+
+class Tree(HTMLParser):
+    """A forgiving tree: paragraphs close each other, stray end tags are ignored, open ones end with their parent."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", {}, None)
-        self._tree, self._pending, self._inside, self._heading, self._titled = tree, [], "", False, False
+        self._pending: list[str] = []
         try:
             self.feed(html)
             self.close()
@@ -61,62 +126,27 @@ class Page(HTMLParser):
 
     def _flush(self) -> None:
         """The text since the last tag is one piece."""
-        text, self._pending = "".join(self._pending), []
-        if not text:
-            return
-        if self._inside == "ld":
-            self.blocks[-1] += text
-        elif self._inside != "script":
-            if self._heading:
-                self.headings[-1][1].append(text.strip())
-            if self._titled:
-                self.titles.append(text.strip())
-        if self._tree:
-            self.at.children.append(text)
+        if self._pending:
+            self.at.children.append("".join(self._pending))
+            self._pending = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._flush()
-        own = {k: v or "" for k, v in reversed(attrs)}
-        if tag == "meta":
-            self.metas.append(own)
-        elif tag == "link":
-            self.links.append(own)
-        elif tag in ("script", "style", "template"):
-            self._inside = "script"
-            if tag == "script":
-                if "src" in own:
-                    self.sources.append(own["src"])
-                if own.get("type") == "application/ld+json":
-                    self._inside = "ld"
-                    self.blocks.append("")
-        elif tag == "title" and self.titles is None:
-            self.titles, self._titled = [], True
-        elif _HEADING.fullmatch(tag):
-            self._heading = True
-            self.headings.append((tag, []))
-        if self._tree:
-            if tag == "p":
-                self._close("p", stop=("article", "main", "div", "section", "body", "td", "li"))
-            node = _Node(tag, own, self.at)
-            self.at.children.append(node)
-            if tag not in VOID:
-                self.at = node
+        if tag == "p":
+            self._close("p", stop=("article", "main", "div", "section", "body", "td", "li"))
+        node = _Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
+        self.at.children.append(node)
+        if tag not in VOID:
+            self.at = node
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.handle_endtag(tag)
+            self._close(tag)
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
-        if tag in ("script", "style", "template"):
-            self._inside = ""
-        elif tag == "title":
-            self._titled = False
-        elif _HEADING.fullmatch(tag):
-            self._heading = False
-        if self._tree:
-            self._close(tag)
+        self._close(tag)
 
     def handle_comment(self, data: str) -> None:
         self._flush()
@@ -133,15 +163,6 @@ class Page(HTMLParser):
         if node.parent is not None:
             self.at = node.parent
 
-    def meta(self, attribute: str, value: str) -> str | None:
-        """Content of the first such meta tag: null without one, '' if it has none."""
-        own = next((m for m in self.metas if m.get(attribute, "").lower() == value), None)
-        return None if own is None else own.get("content", "").strip()
-
-    def canonical(self) -> str | None:
-        own = next((x for x in self.links if "canonical" in x.get("rel", "").split()), None)
-        return None if own is None else own.get("href", "").strip()
-
 
 def _types(item: object) -> list[str]:
     if not isinstance(item, dict) or "@type" not in item:
@@ -233,7 +254,8 @@ _MAIN = pa.struct([("text", _STRING), ("fallback", pa.bool_()), ("words", pa.int
 _BOTH = pa.struct([("head", _HEAD), ("main", _MAIN)])
 
 
-def _head(p: Page) -> dict:
+def _head(html: str) -> dict:
+    p = Head(html)
     named = {k: p.meta("name", k) for k in ("description", "robots")}
     return json_ld(p.blocks) | {
         "title": None if p.titles is None else "".join(p.titles),
@@ -245,30 +267,28 @@ def _head(p: Page) -> dict:
     }
 
 
-def _bundles(p: Page) -> list[str]:
+def _bundles(p: Head) -> list[str]:
     return [s for s in p.sources if _BUNDLE.search(s)]
 
 
-def _main(p: Page) -> dict:
-    bundles = _bundles(p)
-    text, fallback = main_content(p.root)
-    return {"text": text, "fallback": fallback, "words": len(text.split()), "bundles": bundles}
+def _main(html: str) -> dict:
+    text, fallback = main_content(Tree(html).root)
+    return {"text": text, "fallback": fallback, "words": len(text.split()), "bundles": _bundles(Head(html))}
 
 
 @F.arrow_udf(from_arrow_type(_HEAD))
 def _read_head(html: pa.Array) -> pa.Array:
-    return pa.array([_head(Page(h or "")) for h in html.to_pylist()], _HEAD)
+    return pa.array([_head(h or "") for h in html.to_pylist()], _HEAD)
 
 
 @F.arrow_udf(from_arrow_type(_MAIN))
 def _read_main(html: pa.Array) -> pa.Array:
-    return pa.array([_main(Page(h or "", tree=True)) for h in html.to_pylist()], _MAIN)
+    return pa.array([_main(h or "") for h in html.to_pylist()], _MAIN)
 
 
 @F.arrow_udf(from_arrow_type(_BOTH))
 def _read_both(html: pa.Array) -> pa.Array:
-    pages = (Page(h or "", tree=True) for h in html.to_pylist())
-    return pa.array([{"head": _head(p), "main": _main(p)} for p in pages], _BOTH)
+    return pa.array([{"head": _head(h or ""), "main": _main(h or "")} for h in html.to_pylist()], _BOTH)
 
 
 def failed(html: Column) -> Column:

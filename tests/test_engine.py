@@ -189,7 +189,7 @@ def test_failed_page_has_no_hierarchy_issues(spark):
 
 
 def main(html):
-    return pages.main_content(pages.Page(html, tree=True).root)
+    return pages.main_content(pages.Tree(html).root)
 
 
 def test_main_content():
