@@ -15,6 +15,8 @@ from .sources.dimensions import bots
 from .sources.site_views import Site
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: A plain explode would have the optimiser compute its input, and so read the page, once more to see that there is any;
+#: so queries over markup explode outer and drop what is null.
 QUERIES: dict[str, Query] = {}
 
 
@@ -108,7 +110,7 @@ def llms_txt(s: Site) -> DataFrame:
 
 @query
 def jsonld_types(s: Site) -> DataFrame:
-    return structure.json_ld(s.site_html()).select("page_id", F.explode("types").alias("type"))
+    return structure.json_ld(s.site_html()).select("page_id", F.explode_outer("types").alias("type")).where("type IS NOT NULL")
 
 
 @query
@@ -128,18 +130,18 @@ def canonical_check(s: Site) -> DataFrame:
 
 @query
 def headings(s: Site) -> DataFrame:
-    df = structure.headings(s.site_html()).select("page_id", F.posexplode("headings").alias("pos", "h"))
+    df = structure.headings(s.site_html()).select("page_id", F.posexplode_outer("headings").alias("pos", "h")).where("pos IS NOT NULL")
     return df.select("page_id", *_long("pos"), "h.tag", "h.text")
 
 
 @query
 def heading_issues(s: Site) -> DataFrame:
-    return structure.headings(s.site_html()).select("page_id", F.posexplode("hierarchy_issues").alias("pos", "issue")).withColumn("pos", F.col("pos").cast("long"))
+    return structure.headings(s.site_html()).select("page_id", F.posexplode_outer("hierarchy_issues").alias("pos", "issue")).where("pos IS NOT NULL").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query
 def js_bundles(s: Site) -> DataFrame:
-    return content.bundles(s.site_html()).select("page_id", F.posexplode("bundles").alias("pos", "src")).withColumn("pos", F.col("pos").cast("long"))
+    return content.bundles(s.site_html()).select("page_id", F.posexplode_outer("bundles").alias("pos", "src")).where("pos IS NOT NULL").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query
